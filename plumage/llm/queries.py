@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumage.llm.pii import redact
+from plumage.llm.residue import residue_evidence
 from plumage.llm.textform import alike_pairs, with_form
 from plumage.operators.tweets import tweet_id
 from plumage.plans.registry import Registry
@@ -43,3 +44,14 @@ def p6_found(read):
 def p6_readable(read):
     """All texts in the readable form."""
     return with_form(tweet_texts(read("tweets")), "text", "text_form", "readable").select("field", "row_key", "text_form")
+
+
+@reg.query("p10_found")
+def p10_found(read):
+    return residue_evidence(read("documents"), "doc_id", "text", "source").select("doc_id")
+
+
+@reg.query("p10_reasons")
+def p10_reasons(read):
+    """How many documents are marked for which reason."""
+    return residue_evidence(read("documents"), "doc_id", "text", "source").groupBy("reason").agg(F.count(F.lit(1)).alias("n_docs"))
