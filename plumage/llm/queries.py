@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumage.llm.mixing import mix, shares
+from plumage.llm.packing import pack
 from plumage.llm.pii import redact
 from plumage.llm.residue import residue_evidence
 from plumage.llm.textform import alike_pairs, with_form
+from plumage.llm.tokens import n_tokens
 from plumage.operators.tweets import tweet_id
 from plumage.plans.registry import Registry
+from plumage.session import cut_lineage
 
 reg = Registry()
 
@@ -55,3 +61,70 @@ def p10_found(read):
 def p10_reasons(read):
     """How many documents are marked for which reason."""
     return residue_evidence(read("documents"), "doc_id", "text", "source").groupBy("reason").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def sized_documents(read) -> DataFrame:
+    """Narrow and written once: the texts are read and counted a single time."""
+    return cut_lineage(read("documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+
+
+def _capacities(read) -> list[int]:
+    """The distinct capacities of the specifications, a fixed small table of two rows."""
+    return sorted({r["capacity"] for r in read("pack_specs").collect()})
+
+
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+'))"
+
+
+@reg.query("p8_found", f"SELECT DISTINCT p.capacity, d.doc_id FROM (SELECT doc_id, {_TOKENS} AS n FROM documents) d JOIN pack_specs p ON d.n > p.capacity")
+def p8_found(read):
+    """Those that the packing itself cuts: documents that lie in several containers."""
+    docs = sized_documents(read)
+    out = [pack(docs, "doc_id", "n_tokens", c).where("piece = 1").select(F.lit(c).cast("int").alias("capacity"), "doc_id") for c in _capacities(read)]
+    return functools.reduce(DataFrame.unionByName, out).distinct()
+
+
+@reg.query("p8_packed")
+def p8_packed(read):
+    docs = sized_documents(read)
+    out = [pack(docs, "doc_id", "n_tokens", c).withColumn("capacity", F.lit(c).cast("int")) for c in _capacities(read)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@reg.query(
+    "p8_fill",
+    f"""WITH d AS (SELECT doc_id, {_TOKENS} AS n FROM documents)
+        SELECT capacity, sum(n)::BIGINT AS tokens, sum(CASE WHEN n > 0 THEN ceil(n / capacity) ELSE 0 END)::BIGINT AS pieces, true AS none_over, true AS within_2_percent
+        FROM d, pack_specs GROUP BY capacity""",
+)
+def p8_fill(read):
+    """How full the containers are: no container over capacity and at most 2 % of the room unused."""
+    packed = p8_packed(read).groupBy("capacity", "container").agg(F.sum("length").alias("filled"), F.count(F.lit(1)).alias("n"))
+    room = F.count(F.lit(1)) * F.first("capacity")
+    return packed.groupBy("capacity").agg(
+        F.sum("filled").alias("tokens"), F.sum("n").alias("pieces"), (F.max("filled") <= F.first("capacity")).alias("none_over"), (F.sum("filled") >= 0.98 * room).alias("within_2_percent")
+    )
+
+
+def _mixes(read) -> dict[str, list[tuple[str, float, int]]]:
+    """The mixes' targets, a fixed small table of ten rows."""
+    out: dict[str, list[tuple[str, float, int]]] = {}
+    for r in read("mix_targets").collect():
+        out.setdefault(r["mix_name"], []).append((r["source"], r["target_share"], r["max_repeats"]))
+    return out
+
+
+@reg.query("p9_mixed")
+def p9_mixed(read):
+    """The schedule of every mix."""
+    docs = sized_documents(read)
+    out = [mix(docs, "doc_id", "source", "n_tokens", t).withColumn("mix_name", F.lit(m)) for m, t in sorted(_mixes(read).items())]
+    return functools.reduce(DataFrame.unionByName, out).withColumnRenamed("key", "doc_id")
+
+
+@reg.query("p9_shares")
+def p9_shares(read):
+    """The shares reached, by mix and source."""
+    docs, targets = sized_documents(read), read("mix_targets")
+    out = [shares(mix(docs, "doc_id", "source", "n_tokens", t), targets.where(F.col("mix_name") == m)).withColumn("mix_name", F.lit(m)) for m, t in sorted(_mixes(read).items())]
+    return functools.reduce(DataFrame.unionByName, out)
