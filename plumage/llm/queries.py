@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumage.llm.linkage import link
 from plumage.llm.mixing import mix, shares
 from plumage.llm.packing import pack
 from plumage.llm.pii import redact
@@ -128,3 +129,18 @@ def p9_shares(read):
     docs, targets = sized_documents(read), read("mix_targets")
     out = [shares(mix(docs, "doc_id", "source", "n_tokens", t), targets.where(F.col("mix_name") == m)).withColumn("mix_name", F.lit(m)) for m, t in sorted(_mixes(read).items())]
     return functools.reduce(DataFrame.unionByName, out)
+
+
+def _user_texts(read, field: str) -> DataFrame:
+    """(user_id, text), distinct: a busy user's repeats are merged before the shuffle."""
+    t = read("tweets").select(F.col("tweet_json.user.id").alias("user_id"), F.col(f"tweet_json.user.{field}").alias("text"))
+    return t.where("user_id IS NOT NULL AND text IS NOT NULL").distinct()
+
+
+@reg.query("p7_found")
+def p7_found(read):
+    region = {c: F.col(c) for c in ("admin_code", "admin_name")}
+    places = link(_user_texts(read, "location"), "user_id", "text", read("places"), "place_id", "name", "alt_names", region)
+    titles = link(_user_texts(read, "description"), "user_id", "text", read("job_titles"), "title_id", "title", "alt_titles", whole=False)
+    out = lambda df, f: df.select(F.lit(f).alias("field"), "user_id", "ref_id")
+    return out(places, "location").unionByName(out(titles, "description"))
