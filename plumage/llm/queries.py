@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage.llm.langid import fit, label_of, text_language, training_sample, with_segments
 from plumage.llm.linkage import link
 from plumage.llm.mixing import mix, shares
 from plumage.llm.packing import pack
@@ -144,3 +145,38 @@ def p7_found(read):
     titles = link(_user_texts(read, "description"), "user_id", "text", read("job_titles"), "title_id", "title", "alt_titles", whole=False)
     out = lambda df, f: df.select(F.lit(f).alias("field"), "user_id", "ref_id")
     return out(places, "location").unionByName(out(titles, "description"))
+
+
+def _fitted(read):
+    d = read("documents").select(F.col("doc_id").alias("row_key"), "text", F.col("lang").alias("label"))
+    return fit(training_sample(d, "row_key", "text", "label"))
+
+
+def _segmented(read, net) -> DataFrame:
+    """(table_name, row_key, label, segments) of both tables; documents that are residue excepted."""
+    docs = read("documents").join(residue_evidence(read("documents"), "doc_id", "text", "source").select("doc_id"), "doc_id", "left_anti")
+    both = docs.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_key"), F.col("lang").alias("label"), "text").unionByName(
+        read("rated_tweets").select(F.lit("rated_tweets").alias("table_name"), F.col("rating_id").alias("row_key"), F.col("language").alias("label"), F.col("full_text").alias("text"))
+    )
+    return with_segments(both, "text", net).drop("text")
+
+
+def label_fits(label: Column, lang: Column, ratings: Column) -> Column:
+    """Whether a label fits a text in the one language ``lang``; in ratings Other fits any but en and fr."""
+    other = ratings & F.lower(F.trim(label)).isin("other", "autre", "others", "autres") & ~lang.isin("en", "fr")
+    return F.coalesce(label_of(label) == lang, F.lit(False)) | F.coalesce(other, F.lit(False))
+
+
+@reg.query("p2_found")
+def p2_found(read):
+    s = _segmented(read, _fitted(read))
+    fits = label_fits(F.col("label"), F.get("segments", F.lit(0))["lang"], F.col("table_name") == "rated_tweets")
+    out = s.where((F.size("segments") > 1) | ((F.size("segments") == 1) & ~fits))
+    return out.select("table_name", "row_key", F.explode("segments").alias("s")).select("table_name", "row_key", "s.seg_no", "s.lang")
+
+
+@reg.query("p2_texts")
+def p2_texts(read):
+    """Every text with its language and the confidence in it; null for texts in no language."""
+    s = _segmented(read, _fitted(read)).withColumn("l", text_language(F.col("segments")))
+    return s.select("table_name", "row_key", "l.lang", F.round("l.confidence", 6).alias("confidence"), F.size("segments").alias("n_segments"))
