@@ -30,6 +30,10 @@ def main(args: list[str]) -> int:
     for p in Path(sf).glob("*.parquet"):
         con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'" if p.is_file() else f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}/*.parquet'")
     bad = 0
+    if args[:1] == ["--module"]:
+        import importlib
+
+        args = [n for m in args[1:] for n in importlib.import_module(f"plumage.plans.{m}").reg.queries]
     for name in args or list(e.queries()):
         t = time.time()
         try:
