@@ -7,7 +7,7 @@ import importlib
 from plumage.plans.registry import Registry
 
 #: Modules with a ``reg``, in the order of registration.
-MODULES = ["corpus", "users", "annotation", "models"]
+MODULES = ["corpus", "users", "annotation", "models", "spread"]
 
 
 def all_queries() -> Registry:
