@@ -86,9 +86,9 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: list[tuple[s
     nth: dict[str, list[int]] = {s: [] for s in whole}
     for t, s in enumerate(period):
         nth[s].append(t)
-    goal = {s: weights[s] * length for s in weights}
-    rows = [(s, int(tokens[s]), float(goal[s]), nth[s]) for s in weights]
-    table = F.broadcast(spark.createDataFrame(rows, "source string, tokens bigint, goal double, slots array<int>"))  # one row per target
+    most = {s: int(r) for s, _, r in targets if s in weights}
+    rows = [(s, int(tokens[s]), min(int(tokens[s]) * most[s], round(weights[s] * length)), nth[s]) for s in weights]
+    table = F.broadcast(spark.createDataFrame(rows, "source string, tokens bigint, goal bigint, slots array<int>"))  # one row per target
     placed = running_position(d, ["source"], "key", F.col("size"), name="start").join(table, "source")
     # pass u over the source's documents begins at u * tokens; a use counts where it begins before the goal
     passes = F.ceil((F.col("goal") - F.col("start")) / F.col("tokens")).cast("int")

@@ -96,15 +96,15 @@ def p8_packed(read):
 @reg.query(
     "p8_fill",
     f"""WITH d AS (SELECT doc_id, {_TOKENS} AS n FROM documents)
-        SELECT capacity, sum(n)::BIGINT AS tokens, sum(CASE WHEN n > 0 THEN ceil(n / capacity) ELSE 0 END)::BIGINT AS pieces, true AS none_over, true AS within_2_percent
+        SELECT capacity, sum(n)::BIGINT AS tokens, sum(CASE WHEN n > 0 THEN ceil(n / capacity) ELSE 0 END)::BIGINT AS pieces, true AS none_over, true AS near_least
         FROM d, pack_specs GROUP BY capacity""",
 )
 def p8_fill(read):
-    """How full the containers are: no container over capacity and at most 2 % of the room unused."""
+    """How full the containers are: none over capacity, and at most 1 % and one more than their least number."""
     packed = p8_packed(read).groupBy("capacity", "container").agg(F.sum("length").alias("filled"), F.count(F.lit(1)).alias("n"))
-    room = F.count(F.lit(1)) * F.first("capacity")
+    least = F.ceil(F.sum("filled") / F.first("capacity"))
     return packed.groupBy("capacity").agg(
-        F.sum("filled").alias("tokens"), F.sum("n").alias("pieces"), (F.max("filled") <= F.first("capacity")).alias("none_over"), (F.sum("filled") >= 0.98 * room).alias("within_2_percent")
+        F.sum("filled").alias("tokens"), F.sum("n").alias("pieces"), (F.max("filled") <= F.first("capacity")).alias("none_over"), (F.count(F.lit(1)) <= 1.01 * least + 1).alias("near_least")
     )
 
 
