@@ -146,7 +146,7 @@ def _names_before(t: str, b: int, cue: str) -> list[tuple[int, int]]:
             n = _NAME.match(piece, lead)
             if n and _name_ok(n, piece, loose=False) and not piece[n.end() : n.end() + 1].isalnum() and piece[n.end() : n.end() + 1] != "@":
                 out.append((at + n.start(), at + n.end()))
-            elif n and _name_ok(n, piece, loose=True) and re.match(r"\s*(?:$|https?:|#|[^\w\s])", piece[n.end() :]):
+            elif n and _name_ok(n, piece, loose=True) and (_STOP.match(piece, n.end()) or _NEW.match(piece, n.end())):
                 out.append((at + n.start(), at + n.end()))
             at += len(piece) + 1
             if re.search(r"[.!?]\s", piece):
@@ -194,6 +194,7 @@ def _name_after(t: str, a: int) -> tuple[int, int] | None:
     return start, start + n.end()
 
 
+_NEW = re.compile(r"\s+[A-ZÀ-ÖØ-ÞЀ-Я¿]")  # another sentence begins
 _STOP = re.compile(r"\s*(?:$|;|https?:|#|@|[.!?](?:\s|$)|[|•/\n]|[^\w\s'’.,\-])", re.I)
 
 
@@ -205,7 +206,7 @@ def _beside(t: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         if m:
             n = _NAME.match(t, b + m.end())
             if n and _name_ok(n, t, loose=True):
-                end = n.end() if _STOP.match(t, n.end()) else (_cut(n, t) if n.group("t") else 0)
+                end = n.end() if _STOP.match(t, n.end()) or _NEW.match(t, n.end()) else (_cut(n, t) if n.group("t") else 0)
                 if end or all(w[:1].isupper() for w in n.group().split()):
                     out.append((n.start(), end or n.end()))
         m = re.search(r"(?:^|[;:\-–\n])\s*([^;:\n]{3,48});\s*<?\s*$", t[max(0, a - 60) : a])

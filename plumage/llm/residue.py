@@ -52,6 +52,7 @@ ERRORS = [
 SCRIPTS = [
     r"\b(?:enable|activate|allow|turn on|turning on|switch on|unblock|permit)\b.{0,30}\b(?:java ?script|scripts?|cookies)\b", r"\bjava ?script (?:is|must be|has to be|needs to be|seems)\b", r"\bscripts (?:are|must be|is) \w+", r"\bscripts (?:blocked|disabled|off)\b", r"\bhas to run scripts\b", r"\brequires? (?:java ?script|scripts)\b",
     r"\bwith (?:java ?script|scripts) enabled\b", r"\bswitch (?:java ?script|scripts) on\b", r"\bjava ?script\b.{0,40}\b(?:browser|navigateur|navegador|settings|réglages)\b", r"\bchecking your browser\b", r"\bbrowser (?:does not|doesn't) support\b", r"\bsupported browser\b", r"\bbrowser is out of date\b", r"\bturn them on\b", r"^loading\W*$", r"\bif nothing appears\b", r"\bverify(?:ing)? (?:that )?you are (?:a )?human\b",
+    r"\bjava ?script\b", r"\bscripts?\b", r"\b(?:script|ad) ?blocker\b", r"\bbloqueur\b",
     r"\b(?:activez|activer|autorisez|autoriser)\b.{0,30}\b(?:java ?script|scripts?|cookies)\b", r"\bactivez-le\b", r"\brequiert java ?script\b", r"\bnavigateur, puis\b",
     r"\b(?:activ[ea]r?|habilit[ea]r?|permit[ae]) .{0,20}\b(?:java ?script|scripts)\b", r"\b(?:ativ[ea]r?) .{0,20}\b(?:java ?script|scripts)\b", r"\b(?:java ?script|skripte)\b.{0,40}\baktivieren\b", r"\baktivieren sie .{0,20}\b(?:java ?script|skripte)\b", r"\b(?:attiva|abilita)\w* .{0,20}\b(?:java ?script|script)\b", r"\b(?:увімкніть|дозвольте) .{0,20}\b(?:java ?script|скрипти)\b",
 ]
