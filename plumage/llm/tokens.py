@@ -15,7 +15,7 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORDPUNCT))
 
 
-def running_position(df: DataFrame, group: list[str], key: str, amount: Column, salts: int = 64, name: str = "start") -> DataFrame:
+def running_position(df: DataFrame, group: list[str], key: str, amount: Column, salts: int = 1024, name: str = "start") -> DataFrame:
     """``df`` with ``name``: the sum of ``amount`` over the rows of its group that come before it.
 
     The order within a group is by a hash of ``key`` and then ``key``: fixed, and the same however the rows
