@@ -26,7 +26,7 @@ def numbered(df: DataFrame, key: str, seed: str = "0", name: str = "i", group: l
     off = n.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*group, "_b").orderBy("_h", key)) - 1
     out = h.withColumn("_rn", inside)
-    out = out.join(off if group else F.broadcast(off), [*group, "_b"])
+    out = out.join(off if group else F.broadcast(off), [*group, "_b"])  # group keys aren't null
     return out.withColumn(name, (F.col("_before") + F.col("_rn")).cast("bigint")).drop("_h", "_b", "_rn", "_before")
 
 

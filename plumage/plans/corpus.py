@@ -13,7 +13,27 @@ from plumage.plans.registry import Registry
 reg = Registry()
 
 
-@reg.query("p1_found")
+_ID = lambda o: f"CASE WHEN json_type({o}, '$.id') IN ('UBIGINT', 'BIGINT') OR json_type({o}, '$.id') = 'VARCHAR' AND regexp_full_match({o}->>'$.id', '[0-9]+') THEN {o}->>'$.id' WHEN regexp_full_match({o}->>'$.id_str', '[0-9]+') THEN {o}->>'$.id_str' END"
+#: A list's elements with their positions; a bare object is the only one.
+_EACH = lambda o, path: f"unnest(CASE json_type({o}, '{path}') WHEN 'ARRAY' THEN list_zip(range(len(({o}->'{path}')::JSON[])), ({o}->'{path}')::JSON[]) WHEN 'OBJECT' THEN [(0, {o}->'{path}')] END)"
+_P1 = f"""WITH RECURSIVE tw AS (SELECT line_id, raw_line::JSON AS j FROM tweet_lines WHERE CASE WHEN json_valid(raw_line) THEN json_type(raw_line::JSON) = 'OBJECT' END
+    UNION ALL SELECT line_id, n.n FROM tw, LATERAL (SELECT unnest([j->'$.retweeted_status', j->'$.quoted_status']) AS n) n WHERE json_type(n.n) = 'OBJECT'),
+  t AS (SELECT line_id, j, ({_ID("j")})::BIGINT AS tweet_id, CASE WHEN json_type(j, '$.extended_tweet.entities') = 'OBJECT' THEN j->'$.extended_tweet.entities' ELSE j->'$.entities' END AS e, j->'$.user' AS u FROM tw),
+  urls AS (SELECT line_id, tweet_id, j, u, CASE json_type(u, '$.entities.url.urls') WHEN 'ARRAY' THEN json_array_length(u, '$.entities.url.urls') WHEN 'OBJECT' THEN 1 ELSE 0 END AS k FROM t),
+  c AS (SELECT line_id, tweet_id, 'user' AS child_kind, 0 AS pos, {_ID("u")} AS child_key FROM t WHERE json_type(u) = 'OBJECT'
+    UNION ALL SELECT line_id, tweet_id, 'user_url', x[1], x[2]->>'$.expanded_url' FROM (SELECT line_id, tweet_id, {_EACH("u", "$.entities.url.urls")} AS x FROM urls)
+    UNION ALL SELECT line_id, tweet_id, 'user_url', x[1] + k, x[2]->>'$.expanded_url' FROM (SELECT line_id, tweet_id, k, {_EACH("u", "$.entities.description.urls")} AS x FROM urls)
+    UNION ALL SELECT line_id, tweet_id, 'place', 0, j->>'$.place.id' FROM t
+    UNION ALL SELECT line_id, tweet_id, 'area', x[1], x[2]->>'$.id' FROM (SELECT line_id, tweet_id, {_EACH("j", "$.place.contained_within")} AS x FROM t)
+    UNION ALL SELECT line_id, tweet_id, 'mention', p, {_ID("v")} FROM (SELECT line_id, tweet_id, x[1] AS p, x[2] AS v FROM (SELECT line_id, tweet_id, {_EACH("e", "$.user_mentions")} AS x FROM t))
+    UNION ALL SELECT line_id, tweet_id, 'hashtag', x[1], x[2]->>'$.text' FROM (SELECT line_id, tweet_id, {_EACH("e", "$.hashtags")} AS x FROM t)
+    UNION ALL SELECT line_id, tweet_id, 'url', x[1], x[2]->>'$.expanded_url' FROM (SELECT line_id, tweet_id, {_EACH("e", "$.urls")} AS x FROM t)
+    UNION ALL SELECT line_id, tweet_id, 'retweeted_status', 0, {_ID("v")} FROM (SELECT line_id, tweet_id, j->'$.retweeted_status' AS v FROM t) WHERE json_type(v) = 'OBJECT'
+    UNION ALL SELECT line_id, tweet_id, 'quoted_status', 0, {_ID("v")} FROM (SELECT line_id, tweet_id, j->'$.quoted_status' AS v FROM t) WHERE json_type(v) = 'OBJECT')
+  SELECT DISTINCT line_id, tweet_id, child_kind, pos::INT AS pos, child_key FROM c WHERE child_key IS NOT NULL"""
+
+
+@reg.query("p1_found", _P1)
 def p1_found(read):
     return tweet_child_table(read("tweet_lines"))
 

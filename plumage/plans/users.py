@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumage.functions import text as X
 from plumage.functions.geo import box_middle
+from plumage.operators.folds import numbered
 from plumage.operators.tweets import tweet_id
 from plumage.operators.users import DEMONYMS, LOCATION_TERMS, by_authors, in_country, nearest_entry, tag_country
 from plumage.plans.registry import Registry
@@ -145,10 +146,16 @@ def original_min_tokens(read):
     return read("tweets").where(F.col("tweet_json.retweeted_status").isNull() & (F.size(X.tokens(F.col(_TXT))) >= 5)).select("delivery_id")
 
 
-@reg.query("group_bag", "SELECT tweet_json.user.id AS user_id, count(*) AS n, md5(string_agg(delivery_id::VARCHAR, ',' ORDER BY delivery_id)) AS bag FROM tweets GROUP BY 1")
+@reg.query(
+    "group_bag",
+    """SELECT user_id, (i // 100)::BIGINT AS chunk, count(*) AS n, md5(string_agg(delivery_id::VARCHAR, ',' ORDER BY delivery_id)) AS bag
+       FROM (SELECT tweet_json.user.id AS user_id, delivery_id, row_number() OVER (PARTITION BY tweet_json.user.id ORDER BY md5(delivery_id::VARCHAR || '#0'), delivery_id) - 1 AS i FROM tweets) GROUP BY 1, 2""",
+)
 def group_bag(read):
-    t = read("tweets").groupBy(F.col("tweet_json.user.id").alias("user_id"))
-    return t.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("delivery_id")), ",")).alias("bag"))
+    """Tweets grouped by user, in bags of at most 100: no user's tweets are all brought to one row or task."""
+    t = numbered(read("tweets").select(F.col("tweet_json.user.id").alias("user_id"), "delivery_id"), "delivery_id", group=["user_id"])
+    g = t.groupBy("user_id", F.floor(F.col("i") / 100).alias("chunk"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("delivery_id")), ",")).alias("bag"))
 
 
 @reg.query("bag_histogram", "SELECT least(n, 10) AS size, count(*) AS users FROM (SELECT tweet_json.user.id, count(*) AS n FROM tweets GROUP BY 1) GROUP BY 1")
