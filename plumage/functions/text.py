@@ -113,3 +113,13 @@ def polarity(c: Column, lexicon: dict[str, float], alpha: float = 15.0) -> Colum
     pos, neg, neu = part(lambda x: x > 0), part(lambda x: x < 0), F.size(F.filter(v, lambda x: x == 0)).cast("double")
     share = lambda x: F.coalesce(F.try_divide(x, pos + neg + neu), F.lit(0.0))
     return F.struct(share(neg).alias("neg"), share(neu).alias("neu"), share(pos).alias("pos"), (total / F.sqrt(total * total + alpha)).alias("compound"))
+
+
+def word_tokenize(c: Column) -> Column:
+    """Words and marks apart, close to the Treebank rules: contractions are split before the apostrophe."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(\w+)(n't)\b", "$1 $2")
+    s = F.regexp_replace(s, r"(?i)(\w)('(?:s|m|d|re|ve|ll))\b", "$1 $2")
+    s = F.regexp_replace(s, r"(\.\.\.|--|[?!;@#$%&\[\](){}<>\"“”«»])", " $1 ")
+    s = F.regexp_replace(s, r"([,:])(?!\d)", " $1 ")
+    s = F.regexp_replace(s, r"(?<![.\w]\.)\.(?=\s*$)", " .")
+    return tokens(s)

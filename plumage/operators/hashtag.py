@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.functions.text import camel_split
+from plumage.functions.text import camel_split, tokens
 
 #: N-grams of a model are held in memory by every task; more are refused, never dropped.
 MAX_NGRAMS = 2_000_000
@@ -189,3 +189,23 @@ def tag_features(target: Column) -> list[Column]:
         F.length(low).cast("double").alias("length"), _num(low.rlike("^[0-9]+$")).alias("digit_tag"), _num(low.rlike("^[bcdfghjklmnpqrstvwxz]+$")).alias("no_vowel"),
         _num(low.rlike("^[a-z]+[0-9]+$")).alias("letters_digits"), _num(low.rlike("^[0-9]+[a-z]+$")).alias("digits_letters"), _num(F.size(camel_split(target)) > 1).alias("camel_tag"),
     ]
+
+
+def replace_tags(texts: DataFrame, key: str, text: str, segmented: DataFrame, tag: str = "tag", seg: str = "seg") -> DataFrame:
+    """(key, text): every ``#tag`` token that the table has is replaced by its segmentation; all in lower case.
+
+    Tokens are joined by single blanks. Only the tags meet the table, each distinct one of a text once.
+    """
+    toks = tokens(F.col(text))
+    is_tag = lambda t: t.startswith("#") & (F.length(t) > 1)
+    t = texts.select(F.col(key).alias("key"), toks.alias("toks"))
+    own = t.select("key", F.explode(F.array_distinct(F.filter("toks", is_tag))).alias("_t")).withColumn("tag", F.regexp_replace("_t", "^#+", ""))
+    met = own.join(segmented.select(F.col(tag).alias("tag"), F.col(seg).alias("seg")), "tag").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("_t", "seg"))).alias("segs"))  # a text's own tags
+    j = t.join(met, "key", "left").withColumn("segs", F.coalesce("segs", F.create_map().cast("map<string,string>")))
+    new = F.transform("toks", lambda x: F.coalesce(F.try_element_at(F.col("segs"), x), x))
+    return j.select(F.col("key").alias(key), F.lower(F.array_join(new, " ")).alias(text))
+
+
+def feature_vector(seg: Column, lm_score: Column, counts: list[Column], entity: list[Column], slang: Column, lexicon: list[str]) -> Column:
+    """The vector of a candidate: model score, count scores, 20 lengths, 7 shapes, 2 entity flags, slang, coverage."""
+    return F.concat(F.array(lm_score, *counts), length_histogram(seg), F.array(*word_shapes(seg)), F.array(*entity, slang, coverage(seg, lexicon)))

@@ -8,7 +8,7 @@ so what is shuffled is at most ``k`` rows per query and batch, whatever the numb
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +116,14 @@ def spread_labels(points: DataFrame, gamma: float = 20.0, alpha: float = 0.2, ro
         f = new
     guess = classes[f.argmax(1)] if len(classes) else np.full(len(x), -1)
     return spark.createDataFrame(pa.table({"id": pa.array(ids.astype(np.int64)), "guess": pa.array(guess.astype(np.int32))}))
+
+
+def embed(texts: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(id, vec): vectors of texts by a caller's encoder, one call per Arrow batch; null texts count as empty."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            vecs = [np.asarray(v, np.float64).tolist() for v in encode([t or "" for t in b["text"].to_pylist()])] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(vecs, pa.list_(pa.float64()))], names=["id", "vec"])
+
+    return texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, vec array<double>")

@@ -148,3 +148,19 @@ def rerank(scored: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=[key, "seg", "rank"])
 
     return per.mapInArrow(run, f"`{key}` {kt}, seg string, rank int")
+
+
+def training_pairs(labelled: DataFrame, key: str, seg: str, label: str, features: str, loss: str = "mse") -> DataFrame:
+    """(key, a, b, x, y): pairs of a key's candidates to train on.
+
+    ``mse``: all ordered pairs, also of a candidate with itself, with the difference of labels. ``margin``: only
+    pairs of unequal labels, with its sign. ``x`` is both feature vectors one after the other.
+    """
+    if loss not in ("mse", "margin"):
+        raise ValueError(f"unknown loss {loss!r}")
+    side = lambda n: labelled.select(F.col(key).alias("key"), F.col(seg).alias(n), F.col(label).cast("double").alias(f"l{n}"), F.col(features).alias(f"x{n}"))
+    j = side("a").join(side("b"), "key")
+    diff = F.col("la") - F.col("lb")
+    if loss == "margin":
+        j, diff = j.where("la != lb"), F.signum(diff)
+    return j.select(F.col("key").alias(key), "a", "b", F.concat("xa", "xb").alias("x"), diff.alias("y"))

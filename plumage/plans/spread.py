@@ -228,3 +228,29 @@ def rerank_greedy(read):
         return pd.Series(net.predict((np.stack(col.to_list()) - mean) / std).round(6))
 
     return R.rerank(both.select("tag", "a", "b", score("x").alias("score")), "tag")
+
+
+@reg.query("hashtag_text", rf"""WITH {_TAGS}, {_GOLD}, t AS (SELECT rating_id, list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> '') AS w FROM rated_tweets), u AS (SELECT rating_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t)
+    SELECT rating_id, md5(lower(string_agg(coalesce(gold, x), ' ' ORDER BY i))) AS text_md5 FROM u LEFT JOIN gold ON starts_with(x, '#') AND length(x) > 1 AND gold.tag = substr(x, 2) GROUP BY 1""")
+def hashtag_text(read):
+    """Texts with their tags written out as words."""
+    t = H.replace_tags(read("rated_tweets"), "rating_id", "full_text", _gold(read), seg="gold")
+    return t.select("rating_id", F.md5("full_text").alias("text_md5"))
+
+
+_LABELLED = f"{_CANDS}, lab AS (SELECT tag, c AS seg, (-levenshtein(lower(c), lower(gold)))::DOUBLE AS label FROM (SELECT tag, gold, unnest(cands) AS c FROM cand))"
+
+
+def _labelled(read):
+    return edit_label(read).withColumn("x", F.array(F.length("seg").cast("double")))
+
+
+@reg.query("pairs_mse", f"WITH {_TAGS}, {_GOLD}, {_LABELLED} SELECT p.tag, p.seg AS a, q.seg AS b, length(p.seg) + length(q.seg) AS both, p.label - q.label AS y FROM lab p JOIN lab q USING (tag)")
+def pairs_mse(read):
+    p = R.training_pairs(_labelled(read), "tag", "seg", "label", "x", "mse")
+    return p.select("tag", "a", "b", (F.get("x", F.lit(0)) + F.get("x", F.lit(1))).cast("bigint").alias("both"), "y")
+
+
+@reg.query("pairs_margin", f"WITH {_TAGS}, {_GOLD}, {_LABELLED} SELECT p.tag, p.seg AS a, q.seg AS b, sign(p.label - q.label)::DOUBLE AS y FROM lab p JOIN lab q USING (tag) WHERE p.label <> q.label")
+def pairs_margin(read):
+    return R.training_pairs(_labelled(read), "tag", "seg", "label", "x", "margin").select("tag", "a", "b", "y")

@@ -211,3 +211,15 @@ def test_porter():
 def test_set_expansion(spark):
     r = one(spark, H.expand_gold(F.array(F.lit("no mask"), F.lit("don't"), F.lit("a-b"), F.lit("u.s"), F.lit("zz")), F.lit("NoMask")).alias("g"))
     assert r.g == ["no mask", "dont", "don t", "ab", "a b", "us"]
+
+
+def test_treebank_like_words(spark):
+    r = one(spark, X.word_tokenize(F.lit("I can't say it's $3.50, (really)... Dr. Who.")).alias("w"), X.word_tokenize(F.lit(None).cast("string")).alias("n"))
+    assert r.w == ["I", "ca", "n't", "say", "it", "'s", "$", "3.50", ",", "(", "really", ")", "...", "Dr.", "Who", "."] and r.n == []
+
+
+def test_embed_and_vector(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string")
+    assert {r.id: r.vec for r in K.embed(df, "id", "t", lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0]}
+    v = spark.createDataFrame([("No mask19",)], "s string").select(H.feature_vector(F.col("s"), F.lit(-1.5), [F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(0.0)], F.lit(0.0), ["no"]).alias("v")).first().v
+    assert len(v) == 34 and v[0] == -1.5 and v[3 + 1] == 1 and v[3 + 5] == 1 and v[-1] == 1.0
