@@ -14,9 +14,11 @@ A text that only talks about errors or scripts has other sentences, or tells of
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +69,71 @@ FURNITURE = [
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-_PAGE = re.compile("|".join(f"(?:{p})" for p in ERRORS + SCRIPTS), re.I)
-_FILL = re.compile("|".join(f"(?:{p})" for p in FILLER), re.I)
-_FURN = re.compile("|".join(f"(?:{p})" for p in FURNITURE), re.I)
+
+
+def needed(pattern) -> set[str] | None:
+    """Literals of which any text that a parsed pattern matches holds at least one; None if none is sure."""
+    best: set[str] | None = None
+    run = ""
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and min(map(len, found)) >= 3 and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in [*pattern, (None, None)]:
+        if op is re._constants.LITERAL:
+            run += chr(arg)
+            continue
+        offer({run.lower()} if run else None)
+        run = ""
+        if op is re._constants.SUBPATTERN:
+            offer(needed(arg[3]))
+        elif op is re._constants.BRANCH:
+            each = [needed(alternative) for alternative in arg[1]]
+            offer(set().union(*each) if all(each) else None)
+        elif op is re._constants.MAX_REPEAT and arg[0] >= 1:
+            offer(needed(arg[2]))
+    return best
+
+
+class Detectors:
+    """Groups of patterns of which a text wakes those whose literal it holds, found in one Aho-Corasick pass."""
+
+    def __init__(self, **groups: list[str]):
+        self.groups = {g: [re.compile(p, re.I) for p in ps] for g, ps in groups.items()}
+        self.always = {g: [] for g in groups}
+        keys: dict[str, list[tuple[str, int]]] = {}
+        for g, ps in groups.items():
+            for i, p in enumerate(ps):
+                found = needed(re._parser.parse(p, re.I))
+                for literal in found or ():
+                    keys.setdefault(literal, []).append((g, i))
+                if not found:
+                    self.always[g].append(i)
+        self.words = ahocorasick.Automaton()
+        for literal, at in keys.items():
+            self.words.add_word(literal, tuple(at))
+        self.words.make_automaton()
+
+    def awake(self, text: str) -> dict[str, list[re.Pattern]]:
+        """``text`` is in lower case."""
+        on = {g: set(i) for g, i in self.always.items()}
+        for _, at in self.words.iter(text):
+            for g, i in at:
+                on[g].add(i)
+        return {g: [self.groups[g][i] for i in sorted(ix)] for g, ix in on.items()}
+
+
+@functools.lru_cache(1)
+def detectors() -> Detectors:
+    return Detectors(page=ERRORS + SCRIPTS, fill=FILLER, furniture=FURNITURE)
+
+
+def _any(patterns: list[re.Pattern], s: str) -> bool:
+    return any(p.search(s) for p in patterns)
+
+
 #: A sentence with one of these tells of somebody.
 _TELLS = re.compile(r"(?<!\w)(?:i|my|me|our|they|he|she|and then|j'ai|je|mon|ma|notre|ils|elle|n'a pas pu|said|kept saying|disait)(?!\w)", re.I)
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -78,7 +142,7 @@ _TAGS = re.compile(r"</?\w+[^>]*>")
 _LINK = re.compile(r"https?://\S+")
 _OPENS = re.compile(r"\{\{|\$\{|#\{|\[\[|<%|\{%|<<|@@|\*\||%\(|\[(?:insert|enter|add|your|votre|ins[ée]r|à compl|a compl|to be|tbd|todo)", re.I)
 _MAYBE = re.compile(r"[{<%\[]|__")
-_LATIN = re.compile(r"lorem|ipsum|adipiscing|consectetur|eiusmod|ullamco|reprehenderit|exercitation|aliqua", re.I)
+_LATIN = ("lorem", "ipsum", "adipiscing", "consectetur", "eiusmod", "ullamco", "reprehenderit", "exercitation", "aliqua")
 _MASK = re.compile(r"\w*\d\w*|[@#]\w+|https?://\S+")
 
 #: Words that no detector explains, from which on a text is content.
@@ -118,7 +182,9 @@ def examine(text: str) -> dict:
     body_terms: set[str] = set()
     title_terms: set[str] | None = None
     plain = _TAGS.sub(". ", text) if "<" in text else text
-    latin_copy = _LATIN.search(text) is not None
+    low_text = text.lower()
+    latin_copy = any(w in low_text for w in _LATIN)
+    on = detectors().awake(low_text)
     at = 0
     while at < len(plain):
         cut = _SENT.search(plain, at)
@@ -132,7 +198,7 @@ def examine(text: str) -> dict:
                 words += len(rest)
                 lorem += sum(w in LOREM for w in rest)
             break
-        ws = _WORD.findall(_LINK.sub(" ", s))
+        ws = _WORD.findall(_LINK.sub(" ", s) if "://" in s else s)
         ws = [w for w in ws if not re.search(rf"[@#]{re.escape(w)}", s)] if "@" in s or "#" in s else ws
         low = [w.lower() for w in ws]
         if title_terms is None:
@@ -141,11 +207,11 @@ def examine(text: str) -> dict:
         latin = sum(w in LOREM for w in low)
         if len(ws) >= 3 and latin >= 0.7 * len(ws):
             lorem += len(ws)
-        elif _FURN.search(s) and len(ws) < 12:
+        elif len(ws) < 12 and _any(on["furniture"], s):
             furniture += 1
-        elif _FILL.search(s) and len(ws) <= 14:
+        elif len(ws) <= 14 and _any(on["fill"], s):
             fill += 1
-        elif _PAGE.search(s) and not (len(ws) >= 7 and _TELLS.search(s) and not re.search(r"(?i)\b(?:sorry|oops|your browser|our servers?)\b", s)):
+        elif _any(on["page"], s) and not (len(ws) >= 7 and _TELLS.search(s) and not re.search(r"(?i)\b(?:sorry|oops|your browser|our servers?)\b", s)):
             page += 1
         else:
             body += len(ws)
