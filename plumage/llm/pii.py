@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumage.llm.textform import codes_of, normalise, text_of
+from plumage.llm.textform import codes_of, normalise, slices, text_of
 
 KINDS = ("EMAIL", "ID", "PHONE", "ADDRESS", "NAME")
 
@@ -303,6 +303,11 @@ def find(t: str) -> list[tuple[int, int, str]]:
 
 def redact_batch(arr: pa.Array) -> tuple[list[str | None], list[list[str] | None]]:
     """(texts with placeholders, kinds found in order of KINDS) of all rows."""
+    parts = [_redact(part) for part in slices(arr)]
+    return [t for ts, _ in parts for t in ts], [k for _, ks in parts for k in ks]
+
+
+def _redact(arr: pa.Array) -> tuple[list[str | None], list[list[str] | None]]:
     codes, offs = codes_of(arr)
     out, new, src = normalise(codes, offs, "skeleton")
     plain = text_of(out, new).to_pylist()

@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,8 +140,6 @@ def text_of(codes: np.ndarray, offs: np.ndarray, nulls: np.ndarray | None = None
     data = codes.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     out = pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)).cast(pa.string())
     if nulls is not None and nulls.any():
-        import pyarrow.compute as pc
-
         out = pc.if_else(pa.array(nulls), pa.scalar(None, pa.string()), out)
     return out
 
@@ -241,12 +240,26 @@ def normalise(codes: np.ndarray, offs: np.ndarray, form: str = "readable") -> tu
     return out, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int64), src
 
 
+#: Bytes of text that are worked on at once; the arrays about it are some thirty times that.
+SLICE = 1 << 20
+
+
+def slices(arr: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """The array in runs of rows of at most ``most`` bytes; a longer row is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(arr):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield arr.slice(a, b - a)
+        a = b
+
+
 def normalise_array(arr: pa.Array, form: str = "readable") -> pa.Array:
-    if not len(arr):
-        return pa.array([], pa.string())
-    codes, offs = codes_of(arr)
-    out, new, _ = normalise(codes, offs, form)
-    return text_of(out, new, arr.is_null().to_numpy(zero_copy_only=False))
+    out = []
+    for part in slices(arr):
+        codes, new, _ = normalise(*codes_of(part), form)
+        out.append(text_of(codes, new, part.is_null().to_numpy(zero_copy_only=False)))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def with_form(df: DataFrame, text: str, out: str, form: str = "skeleton") -> DataFrame:
