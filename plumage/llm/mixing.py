@@ -19,6 +19,7 @@ import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumage.llm.tokens import running_position
@@ -104,7 +105,7 @@ def shares(schedule: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, actual_share, documents, uses, max_uses): also for sources that gave nothing."""
     per_doc = schedule.groupBy("source", "key").agg(F.count(F.lit(1)).alias("u"), F.sum("size").alias("t"))
     got = per_doc.groupBy("source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("u").alias("uses"), F.max("u").alias("max_uses"))
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.select("source", "target_share").join(got, "source", "left").crossJoin(F.broadcast(total))  # the total is one row
+    out = targets.select("source", "target_share").join(got, "source", "left")
+    out = out.withColumn("all_tokens", F.sum("tokens").over(W.partitionBy(F.lit(1))))  # one row a source
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return out.select("source", "target_share", zero("tokens"), F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"), zero("documents"), zero("uses"), zero("max_uses"))
