@@ -28,13 +28,18 @@ def get_spark(app: str = "plumage", master: str | None = None, shuffle_partition
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and read it back.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
-    machine) a temporary folder is set. Nothing is kept on a single executor, so its loss costs nothing.
+    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset and Spark runs inside one
+    process (tests) a temporary folder is set. Nothing is kept on a single executor, so its loss costs nothing.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumage-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="plumage-ckpt-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
