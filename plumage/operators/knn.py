@@ -26,7 +26,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def _round(qids, q: np.ndarray, k: int, metric: str):
+def _round(qids, q: np.ndarray, k: int, metric: str, others: bool = False):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if not b.num_rows:
@@ -34,21 +34,25 @@ def _round(qids, q: np.ndarray, k: int, metric: str):
             x, ids = _matrix(b["vec"]), b["id"].to_numpy()
             sim = q @ x.T if metric == "dot" else -np.sqrt(np.maximum(0, ((q[:, None, :] - x[None, :, :]) ** 2).sum(2)))
             sim = np.round(sim, 9)
+            own = qids[:, None] == ids[None, :] if others else np.zeros(sim.shape, bool)
+            sim[own] = -np.inf
             n = min(k, x.shape[0])
             # a total order: similarity first, then the smaller id
             order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :n]
             rows = np.arange(len(q))[:, None]
-            labels = b["label"].take(pa.array(order.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[order].ravel()), labels, pa.array(sim[rows, order].ravel())], names=["query", "id", "label", "sim"])
+            keep = ~own[rows, order].ravel()
+            at = order.ravel()[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)[keep]), pa.array(ids[at]), b["label"].take(pa.array(at)), pa.array(sim[rows, order].ravel()[keep])], names=["query", "id", "label", "sim"])
 
     return run
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "dot") -> DataFrame:
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "dot", others: bool = False) -> DataFrame:
     """(query, id, label, sim, rank): the ``k`` nearest vectors of each query, ties to the smaller id.
 
     Both sides have id (bigint) and vec (array of the same length); vectors have a label. ``metric`` is ``dot``
-    or ``euclid`` (sim is minus the distance). Rows with a null id or vector are left out.
+    or ``euclid`` (sim is minus the distance). Rows with a null id or vector are left out. With ``others`` the queries may be
+    among the vectors, and no query is its own neighbour: vectors of its id are passed over, all else is searched.
     """
     if metric not in ("dot", "euclid"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -61,7 +65,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "do
     for i in range(blocks):  # the stated query set against all rows, in blocks
         block = q.where(F.pmod("_b", F.lit(blocks)) == i).select("id", "vec").toArrow() if blocks > 1 else q.select("id", "vec").toArrow()
         if block.num_rows:
-            fn = _round(block["id"].to_numpy().astype(np.int64), _matrix(block["vec"].combine_chunks()), k, metric)
+            fn = _round(block["id"].to_numpy().astype(np.int64), _matrix(block["vec"].combine_chunks()), k, metric, others)
             parts.append(v.mapInArrow(fn, f"query bigint, id bigint, label {lt}, sim double"))
     if not parts:
         return v.limit(0).select(F.col("id").alias("query"), "id", "label", F.lit(0.0).alias("sim"), F.lit(0).alias("rank"))

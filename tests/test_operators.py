@@ -186,6 +186,15 @@ def test_neighbours_against_brute_force(spark):
     assert K.neighbours(df.limit(0), df, 3).count() == 0
 
 
+def test_neighbours_in_the_query_set(spark):
+    """The nearest vector of a query is itself a query; only the own id is passed over, in every batch."""
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 1), (1, [0.0, 1.0], 2)], "id long, vec array<double>, label int")
+    for parts in (1, 3):
+        for metric in ("dot", "euclid"):
+            n = K.neighbours(df.where("id % 20 = 0"), df.repartition(parts), 3, metric, others=True)
+            assert {(r["query"], r["rank"]): (r.id, r.label) for r in n.collect()} == {(0, 1): (20, 1), (0, 2): (1, 2), (20, 1): (0, 0), (20, 2): (1, 2)}
+
+
 def test_label_spreading(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(3, 0.1, (30, 2))])
