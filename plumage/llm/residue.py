@@ -4,8 +4,9 @@ Method. Each document is read once, whole. Detectors find placeholders (slots) o
 filler copy, and the sentences of error pages and script notices; what no detector explains are the body
 terms. The terms of the document's addresses (slugs) and of its title line are compared with the body's, and
 the wording with changing references masked gives a fingerprint. Then evidence is combined over all
-documents: a fingerprint that comes again and again, from one host or several, with little information and
-a title and slugs that its body doesn't take up, is a response page even where few cues speak; slot names and the
+documents with little information, whether a cue speaks in them or not: a fingerprint that comes again and again
+and from several hosts, under a title and slugs that its body doesn't take up, is a response page whatever its
+wording; cues and page furniture add to the same score, a title that is taken up takes away. Slot names and the
 phrases around them, learned from unmistakable notations anywhere in the corpus, decide about the ambiguous
 ones (``{city}`` against ``{sarcasm}``) and about empty values (``Dear null,``).
 
@@ -140,13 +141,16 @@ _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAGS = re.compile(r"</?\w+[^>]*>")
 _LINK = re.compile(r"https?://\S+")
+_SLUG = re.compile(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])")
 _OPENS = re.compile(r"\{\{|\$\{|#\{|\[\[|<%|\{%|<<|@@|\*\||%\(|\[(?:insert|enter|add|your|votre|ins[ée]r|à compl|a compl|to be|tbd|todo)", re.I)
 _MAYBE = re.compile(r"[{<%\[]|__")
 _LATIN = ("lorem", "ipsum", "adipiscing", "consectetur", "eiusmod", "ullamco", "reprehenderit", "exercitation", "aliqua")
 _MASK = re.compile(r"\w*\d\w*|[@#]\w+|https?://\S+")
 
-#: Words that no detector explains, from which on a text is content.
+#: Words that no detector explains, from which on a text is content; below twice as many it has little information.
 CONTENT_WORDS = 10
+#: Evidence from which on a document is a response page.
+ENOUGH = 3
 
 
 def _carrier(text: str, at: int) -> str:
@@ -180,7 +184,7 @@ def examine(text: str) -> dict:
             empty.append(_carrier(text, m.start()))
     page = fill = furniture = body = lorem = words = 0
     body_terms: set[str] = set()
-    title_terms: set[str] | None = None
+    title: set[str] | None = None
     plain = _TAGS.sub(". ", text) if "<" in text else text
     low_text = text.lower()
     latin_copy = any(w in low_text for w in _LATIN)
@@ -201,8 +205,10 @@ def examine(text: str) -> dict:
         ws = _WORD.findall(_LINK.sub(" ", s) if "://" in s else s)
         ws = [w for w in ws if not re.search(rf"[@#]{re.escape(w)}", s)] if "@" in s or "#" in s else ws
         low = [w.lower() for w in ws]
-        if title_terms is None:
-            title_terms = {w for w in low if len(w) > 3}
+        heading = title is None
+        if heading:  # a title stands on a line of its own, or in the first tags
+            own_line = cut and "\n" in cut.group() or plain is not text and text.lstrip().startswith("<")
+            title = {w for w in low if len(w) > 3} if own_line else set()
         words += len(ws)
         latin = sum(w in LOREM for w in low)
         if len(ws) >= 3 and latin >= 0.7 * len(ws):
@@ -215,22 +221,23 @@ def examine(text: str) -> dict:
             page += 1
         else:
             body += len(ws)
-            body_terms.update(w for w in low if len(w) > 3)
-    slug = {w for u in _LINK.findall(text) for w in re.findall(r"[a-z]{4,}", u.lower().partition("//")[2].partition("/")[2])}
-    title = title_terms or set()
+            if not (heading and title):
+                body_terms.update(w for w in low if len(w) > 3)
+    slugs = [_SLUG.findall(u.lower().partition("//")[2].partition("/")[2]) for u in _LINK.findall(text)]
+    told = (title or set()).union(*(s for s in slugs if len(s) > 1))  # a single run of letters may be a short link
     return {
         "strong": sorted(strong), "weak": [{"name": n, "carrier": c} for n, c in weak], "carriers": sorted(carriers), "empty": empty,
         "page": page, "filler": fill, "furniture": furniture, "body_words": body, "lorem_words": lorem, "words": words,
-        "taken_up": len((title | slug) & body_terms), "mask": _MASK.sub("0", text) if body < 40 else None,
+        "told": len(told) if body_terms else 0, "taken_up": len(told & body_terms), "mask": _MASK.sub("0", text) if body < 40 else None,
     }
 
 
-FINDINGS = "strong array<string>, weak array<struct<name:string,carrier:string>>, carriers array<string>, empty array<string>, page int, filler int, furniture int, body_words int, lorem_words int, words int, taken_up int, mask string"
+FINDINGS = "strong array<string>, weak array<struct<name:string,carrier:string>>, carriers array<string>, empty array<string>, page int, filler int, furniture int, body_words int, lorem_words int, words int, told int, taken_up int, mask string"
 
 
 def _arrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct(
-        [("strong", pa.list_(pa.string())), ("weak", pa.list_(pa.struct([("name", pa.string()), ("carrier", pa.string())]))), ("carriers", pa.list_(pa.string())), ("empty", pa.list_(pa.string())), *((n, pa.int32()) for n in ("page", "filler", "furniture", "body_words", "lorem_words", "words", "taken_up")), ("mask", pa.string())]
+        [("strong", pa.list_(pa.string())), ("weak", pa.list_(pa.struct([("name", pa.string()), ("carrier", pa.string())]))), ("carriers", pa.list_(pa.string())), ("empty", pa.list_(pa.string())), *((n, pa.int32()) for n in ("page", "filler", "furniture", "body_words", "lorem_words", "words", "told", "taken_up")), ("mask", pa.string())]
     )
     for b in it:
         found = pa.array([examine(t) for t in b["text"].to_pylist()], kind)
@@ -248,8 +255,8 @@ def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFra
     kt = docs.schema[key].dataType.simpleString()
     f = src.mapInArrow(_arrow, f"key {kt}, host string, {FINDINGS}")
     f = f.withColumn("print", F.xxhash64("mask")).withColumn("print", F.when(F.col("mask").isNotNull() & (F.col("words") >= 3), F.col("print"))).drop("mask")
-    # only rows with some finding go on; long ordinary texts end here
-    f = cut_lineage(f.where("size(strong) > 0 OR size(weak) > 0 OR size(empty) > 0 OR page > 0 OR filler > 0 OR furniture > 0 OR lorem_words > 0"))
+    # rows with some finding go on, and all with little information; long ordinary texts end here
+    f = cut_lineage(f.where(f"body_words < {2 * CONTENT_WORDS} OR size(strong) > 0 OR size(weak) > 0 OR size(empty) > 0 OR page > 0 OR filler > 0 OR furniture > 0 OR lorem_words > 0"))
 
     slots = f.where("size(strong) > 0").select("key", F.lit("slot").alias("reason"))
     names = f.select(F.explode("strong").alias("name")).distinct()
@@ -264,10 +271,12 @@ def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFra
     low = F.col("body_words") < CONTENT_WORDS
     filler = (F.col("lorem_words") >= 0.3 * F.col("words")) & (F.col("lorem_words") >= 3) | (F.col("filler") > 0) & low
     page = (F.col("page") > 0) & low
-    # few cues: little information that comes again with other references, and a title its body drops
-    repeated = (F.col("furniture") > 0) & (F.col("body_words") < 2 * CONTENT_WORDS) & (F.col("body_words") > 0) & (F.col("taken_up") <= 1) & ((F.col("hosts") >= 2) | (F.col("copies") >= 3))
-    judged = f.join(again, "print", "left").select(
-        "key", F.when(filler, "filler").when(page, "page").when(F.coalesce(repeated, F.lit(False)), "repeated page").alias("reason")
-    )
+    # one score of all evidence: cues, furniture, wording that comes again and from where, title and slugs against the body
+    cue = F.when(page, 2 + ENOUGH).when((F.col("page") > 0) | (F.col("filler") > 0), 1).otherwise(0)
+    mismatch = F.when(F.col("taken_up") >= 2, -2).when((F.col("told") > 0) & (F.col("taken_up") <= F.when(F.col("told") >= 4, 1).otherwise(0)), 1).otherwise(0)
+    score = cue + F.when(F.col("furniture") > 0, 2).otherwise(0) + mismatch + (F.coalesce("copies", F.lit(0)) >= 3).cast("int") + (F.coalesce("hosts", F.lit(0)) >= 2).cast("int")
+    again_at_all = F.coalesce((F.col("hosts") >= 2) | (F.col("copies") >= 3), F.lit(False))
+    response = (score >= ENOUGH) & (page | again_at_all & (F.col("body_words") > 0) & (F.col("body_words") < 2 * CONTENT_WORDS))
+    judged = f.join(again, "print", "left").select("key", F.when(filler, "filler").when(response & page, "page").when(response, "repeated page").alias("reason"))
     parts = slots.unionByName(told.select("key", F.lit("slot").alias("reason"))).unionByName(hollow.select("key", F.lit("empty value").alias("reason")))
     return parts.unionByName(judged.where("reason IS NOT NULL")).groupBy("key").agg(F.min("reason").alias("reason")).withColumnRenamed("key", key)

@@ -29,6 +29,21 @@ def test_repeated_pages_without_cues(spark):
     assert {r.k for r in residue_evidence(df, "k", "t", "host").collect()} == set(range(6))
 
 
+def test_pages_outside_the_lists(spark):
+    """No pattern hits these: only their repetition over hosts and a title or slug that the body drops speak."""
+    naps = [(i, f"Sunday recipes and gardens\nThe hamster of shelf {i} naps.", f"h{i % 2}") for i in range(4)]
+    slug = [(10 + i, f"https://x.example/{i}/sunday-recipes-gardens The hamster naps until spring.", f"h{i % 3}") for i in range(4)]
+    taken = [(20 + i, f"Sunday gardens opening\nThe gardens open every sunday at {i}.", f"h{i % 2}") for i in range(4)]
+    plain = [(30 + i, f"The hamster naps until spring. See everyone then, day {i}.", f"h{i % 2}") for i in range(4)]
+    short = [(40 + i, f"https://x.example/mlxmtq{i} We met the hamster today.", f"h{i % 2}") for i in range(4)]
+    one_host = [(50 + i, "Morning notes\nThe kettle is broken again.", "h0") for i in range(4)]
+    alone = [(60, "Evening notes\nThe baker is away again.", "h0")]
+    df = spark.createDataFrame(naps + slug + taken + plain + short + one_host + alone, "k long, t string, host string")
+    assert all(not (e["page"] or e["filler"] or e["furniture"]) for e in (examine(r.t) for r in df.collect()))
+    got = {r.k: r.reason for r in residue_evidence(df, "k", "t", "host").collect()}
+    assert got == dict.fromkeys([*range(4), *range(10, 14)], "repeated page")
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "Text text text text."), (1, CONTENT), (None, "Text text text text.")], "k long, t string").selectExpr("k", "t", "cast(null as string) AS host", "1 AS words")
     assert [(r.k, r.reason) for r in residue_evidence(df, "k", "t", "host").collect()] == [(1, "filler")]
