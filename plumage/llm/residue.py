@@ -36,6 +36,9 @@ STRONG = [
 WEAK = [rf"(?<![{{$#\w]){{\s*{_NAME}\s*}}(?!}})", rf"(?<![<\w])<{_NAME}>(?!>)", rf"(?<![%\w])%{_NAME}%(?![%\w])", rf"(?<!\[)\[{_NAME}\](?!\])", rf"(?<!_)__{_NAME}__(?!_)"]
 EMPTY = r"(?P<e>\[object Object\]|undefined|null|NaN|None|nil|N/A|#N/A|#REF!|\(null\)|<null>)"
 SALUTATIONS = ("dear", "hi", "hello", "hey", "bonjour", "salut", "cher", "chère", "madame", "monsieur", "sincerely", "merci,", "regards,", "unsubscribe:", "se désabonner :")
+#: Dotted names are slots (``user.name``) unless they end as addresses and files do.
+_DOTTED = r"^[\p{L}_][\p{L}\p{N}_]*(?:\.[\p{L}_][\p{L}\p{N}_]*)+$"
+_SITES = r"\.(?:com|org|net|edu|gov|info|biz|io|ca|us|uk|fr|de|es|it|pt|ua|eu|qc|example|html?|php|pdf|txt|jpe?g|png|gif|docx?|xlsx?|csv|json|xml|js|py)$"
 _STRONG = [re.compile(p, re.I) for p in STRONG]
 _WEAK = [re.compile(p, re.I) for p in WEAK]
 _EMPTY = re.compile(rf"(?<![\w<>{{}}]){EMPTY}(?![\w])")
@@ -262,10 +265,15 @@ def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFra
     names = f.select(F.explode("strong").alias("name")).distinct()
     carriers = f.select(F.explode("carriers").alias("carrier")).groupBy("carrier").count().where("count >= 2").select("carrier")
     weak = f.select("key", F.explode("weak").alias("w")).select("key", "w.name", "w.carrier")
-    told = weak.where(F.col("name").contains("_")).select("key").unionByName(weak.join(broadcast_if_small(names, 100_000), "name", "left_semi").select("key"))
+    greeting = r"(?:^|\s)(?:" + "|".join(re.escape(s) for s in SALUTATIONS) + r")"
+    greeted = F.col("carrier").isin(*SALUTATIONS) | F.col("carrier").rlike(greeting + "$")
+    # what a weak slot shows by itself: a name of several parts or a greeting before it; else names and phrases learned
+    dotted = F.col("name").rlike(_DOTTED) & ~F.col("name").rlike(_SITES)
+    known = broadcast_if_small(names, 100_000), broadcast_if_small(carriers, 100_000)
+    told = weak.where(F.col("name").contains("_") | dotted | F.col("carrier").rlike(greeting + ",?$")).select("key")
+    told = told.unionByName(weak.join(known[0], "name", "left_semi").select("key")).unionByName(weak.join(known[1], "carrier", "left_semi").select("key"))
     blank = f.select("key", F.explode("empty").alias("carrier"))
-    greeted = F.col("carrier").isin(*SALUTATIONS) | F.col("carrier").rlike(r"(?:^|\s)(?:" + "|".join(re.escape(s) for s in SALUTATIONS) + r")$")
-    hollow = blank.where(greeted).select("key").unionByName(blank.join(broadcast_if_small(carriers, 100_000), "carrier", "left_semi").select("key"))
+    hollow = blank.where(greeted).select("key").unionByName(blank.join(known[1], "carrier", "left_semi").select("key"))
 
     again = f.where("print IS NOT NULL").groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("host").alias("hosts"))
     low = F.col("body_words") < CONTENT_WORDS

@@ -44,6 +44,17 @@ def test_pages_outside_the_lists(spark):
     assert got == dict.fromkeys([*range(4), *range(10, 14)], "repeated page")
 
 
+def test_weak_slots_stand_by_themselves(spark):
+    """Marked whatever other rows there are: each is judged in a table without strong notations."""
+    bad = ["Hi {user.name},\n" + CONTENT, "We moved to %shop.city%. " + CONTENT, "Bonjour <prénom>,\n" + CONTENT, CONTENT + "\nSincerely, [signature]"]
+    good = ["Write to <mail.example.com> or [notes.txt]. " + CONTENT, CONTENT + " It moved faster than I expected {sarcasm}.", "[update] " + CONTENT]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "k long, t string").selectExpr("*", "'h' AS host")
+    assert {r.k: r.reason for r in residue_evidence(df, "k", "t", "host").collect()} == dict.fromkeys(range(4), "slot")
+    # a phrase seen before unmistakable slots tells of ambiguous ones after it
+    learned = spark.createDataFrame([(1, "Your number is {{ a }}. " + CONTENT), (2, "Your number is ${b}. " + CONTENT), (3, "Your number is {phone}. " + CONTENT)], "k long, t string").selectExpr("*", "'h' AS host")
+    assert {r.k for r in residue_evidence(learned, "k", "t", "host").collect()} == {1, 2, 3}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "Text text text text."), (1, CONTENT), (None, "Text text text text.")], "k long, t string").selectExpr("k", "t", "cast(null as string) AS host", "1 AS words")
     assert [(r.k, r.reason) for r in residue_evidence(df, "k", "t", "host").collect()] == [(1, "filler")]
