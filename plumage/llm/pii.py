@@ -133,6 +133,9 @@ def _name_ok(m: re.Match, text: str, loose: bool) -> bool:
     return loose or all(w[:1].isupper() for w in words)
 
 
+_ENDS = re.compile(r"[.!?]\s")
+
+
 def _names_before(t: str, b: int, cue: str) -> list[tuple[int, int]]:
     """Names right after a cue phrase; after ``contact`` any piece of the list that is one."""
     if cue == "contact":
@@ -140,8 +143,9 @@ def _names_before(t: str, b: int, cue: str) -> list[tuple[int, int]]:
         if not m:
             return []
         out, at = [], b + m.end()
-        stop = min(len(t), at + 240)
-        for piece in t[at:stop].split(";"):
+        while at < len(t):  # the list goes on to its sentence end, however far
+            end = t.find(";", at)
+            piece = t[at : end if end >= 0 else len(t)]
             lead = len(piece) - len(piece.lstrip())
             n = _NAME.match(piece, lead)
             if n and _name_ok(n, piece, loose=False) and not piece[n.end() : n.end() + 1].isalnum() and piece[n.end() : n.end() + 1] != "@":
@@ -149,7 +153,8 @@ def _names_before(t: str, b: int, cue: str) -> list[tuple[int, int]]:
             elif n and _name_ok(n, piece, loose=True) and (_STOP.match(piece, n.end()) or _NEW.match(piece, n.end())):
                 out.append((at + n.start(), at + n.end()))
             at += len(piece) + 1
-            if re.search(r"[.!?]\s", piece):
+            # the dot of a title or an initial inside a name ends nothing
+            if _ENDS.search(piece, n.end() if n and out and out[-1][1] == at - len(piece) - 1 + n.end() else 0):
                 break
         return out
     m = re.match(r"[\s,:;\-–—]{1,4}", t[b : b + 5])

@@ -56,3 +56,10 @@ def test_spans_dont_overlap_and_luhn():
     s = find("Contact: a@b.example; 604-555-0130; SIN 046 454 286; Ann Bee; 12 Elm Street")
     assert [k for *_, k in s] == ["EMAIL", "PHONE", "ID", "NAME", "ADDRESS"] and all(a[1] <= b[0] for a, b in zip(s, s[1:]))
     assert luhn("046454286") and not luhn("046454287")
+
+
+def test_contact_lists_are_read_to_their_end():
+    words = "the desk by the north door of the hall; " * 8
+    assert red(f"Contact: {words}NADEZHKA MACQUILLOW") == f"Contact: {words}[NAME]"
+    assert red("Contact: Dr. Castelmar; the desk; NADEZHKA MACQUILLOW") == "Contact: [NAME]; the desk; [NAME]"
+    assert red(f"Contact: the desk. {words}NADEZHKA MACQUILLOW").endswith("NADEZHKA MACQUILLOW")
