@@ -32,6 +32,19 @@ def follows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FOLLOW).json(path)
 
 
+def edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, weight): a stored graph (Parquet). One with a missing end, a self-loop, or an edge whose way
+    back is missing or weighs otherwise is refused; edges may repeat, each with as many ways back."""
+    df = spark.read.schema(schemas.EDGE).parquet(path)
+    loops = df.where("src IS NULL OR dst IS NULL OR src = dst").limit(1).count()
+    # each edge counts for its pair of ends, once up and once down
+    up = F.when(F.col("src") < F.col("dst"), 1).otherwise(-1)
+    one_way = df.groupBy(F.least("src", "dst"), F.greatest("src", "dst"), "weight").agg(F.sum(up).alias("n")).where("n <> 0").limit(1).count()
+    if loops or one_way:
+        raise ValueError(f"inconsistent graph in {path}: {'a self-loop or a missing end' if loops else 'an edge without its way back'}")
+    return df
+
+
 def locations(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated user, latitude, longitude without header."""
     return spark.read.csv(path, sep="\t", schema=schemas.LOCATION)

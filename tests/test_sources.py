@@ -59,6 +59,18 @@ def test_small_files(spark, tmp_path):
     assert {(r.rater, r.file_name, r.tweet_id) for r in s.collect()} == {("a", "x.csv", "1"), ("a", "y.csv", "1"), ("b", "x.csv", "1")}
 
 
+def test_stored_graphs_are_checked(spark, tmp_path):
+    good = [("a", "b", 2), ("b", "a", 2), ("b", "c", None), ("c", "b", None)]
+    graphs = {"good": good, "empty": [], "loop": [*good, ("c", "c", 1)], "one_way": [*good, ("a", "c", 1)], "weight": [*good, ("a", "c", 1), ("c", "a", 3)], "end": [*good, (None, "a", 1)]}
+    for name, rows in graphs.items():
+        spark.createDataFrame(rows, schemas.EDGE).write.parquet(str(tmp_path / name))
+    assert sorted(map(tuple, readers.edges(spark, str(tmp_path / "good")).collect()), key=str) == sorted(good, key=str)
+    assert readers.edges(spark, str(tmp_path / "empty")).count() == 0
+    for name in ("loop", "one_way", "weight", "end"):
+        with pytest.raises(ValueError, match="inconsistent"):
+            readers.edges(spark, str(tmp_path / name))
+
+
 def test_stream_keeps_first_deliveries(spark, sf, tmp_path):
     src = spark.read.parquet(f"{sf}/tweets.parquet")
     for i in range(3):
