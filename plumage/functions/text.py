@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # ASCII punctuation and the typographic marks that are stripped with it.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TYPOGRAPHIC = "–—−”“’‘,"
+# Unicode white space and the four separators U+001C to U+001F, as a class for Java's and RE2's patterns.
+WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Keywords and phrases of mask-related texts.
 MASK_KEYWORDS = ("mask", "#mask", "#masks", "#wearamask", "masks", "wear", "mask-wearing")
 MASK_PHRASES = ("face covering", "face-mask", "mask wearing")
@@ -23,16 +25,16 @@ def lower0(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Runs of anything but white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
+    """Runs of anything but white space of any script; null and blank texts have none."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), f"[{WHITE}]+"), lambda t: t != "")
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"http\S+", ""), r"www\.\S+", "")
+    return F.regexp_replace(F.regexp_replace(c, f"http[^{WHITE}]+", ""), rf"www\.[^{WHITE}]+", "")
 
 
 def strip_mentions(c: Column) -> Column:
-    return F.regexp_replace(c, r"@\S+", "")
+    return F.regexp_replace(c, f"@[^{WHITE}]+", "")
 
 
 def strip_punctuation(c: Column, keep_hash: bool = True) -> Column:

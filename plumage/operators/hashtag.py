@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage.functions.porter import stems
 from plumage.functions.text import camel_split, tokens
 
 #: N-grams of a model are held in memory by every task; more are refused, never dropped.
@@ -151,27 +152,39 @@ def _num(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
 
 
+CONSONANTS = "qwrtypsdfghjklzxcvbnm"  # fixed value: y counts as one
+_PART = {"xxdd": "^([a-z]+)([0-9]+)$", "ddxx": "^([0-9]+)([a-z]+)$", "xxXX": "^([a-z]+)([A-Z]+)$"}
+
+
+def _squeezed(seg: Column) -> Column:
+    """A segmentation without any blanks: the tag it is of."""
+    return F.array_join(tokens(seg), "")
+
+
 def word_shapes(seg: Column) -> list[Column]:
-    """Seven shapes: letters then digits, digits then letters, camel case, underscores, digits, abbreviation, small then capitals."""
-    target = F.replace(seg, F.lit(" "), F.lit(""))
+    """Seven shapes of a candidate of two tokens or more: letters then digits (the digits are the second token),
+    digits then letters (the digits are the first), camel case, underscores, digits, abbreviation (nothing but
+    consonants, uncut), small letters then capitals (the capitals are the second token)."""
+    target = _squeezed(seg)
     low = F.lower(target)
-    t = F.split(F.lower(seg), " ")
-    second = F.get(t, F.lit(1))
-    tail = lambda c, rx: F.nullif(F.regexp_extract(c, rx, 2), F.lit(""))
+    t = tokens(F.lower(seg))
+    token = lambda i: F.when(F.size(t) > 1, F.get(t, F.lit(i)))
+    part = lambda c, shape, i: F.when(c.rlike(_PART[shape]), F.regexp_extract(c, _PART[shape], i))
+    spaced = F.trim(F.replace(target, F.lit("_"), F.lit(" _ ")))
     return [
-        _num(tail(low, "^([a-z]+)([0-9]+)$") == second).alias("xxdd"),
-        _num(tail(low, "^([0-9]+)([a-z]+)$") == second).alias("ddxx"),
+        _num(part(low, "xxdd", 2) == token(1)).alias("xxdd"),
+        _num(part(low, "ddxx", 1) == token(0)).alias("ddxx"),
         _num((F.array_join(camel_split(target), " ") == seg) & (low != target)).alias("camel"),
-        _num(F.contains(target, F.lit("_")) & (F.array_join(F.split(target, "_"), " _ ") == seg)).alias("underscore"),
-        _num(target.rlike("^[0-9]+$") & (seg == target)).alias("digits"),
-        _num((low == F.lower(seg)) & (F.length(low) <= 4)).alias("abbreviation"),
-        _num(F.lower(tail(target, "^([a-z]+)([A-Z]+)$")) == second).alias("xxXX"),
+        _num(F.contains(target, F.lit("_")) & (spaced == seg)).alias("underscore"),
+        _num(target.rlike(r"^\p{Nd}+$") & (seg == target)).alias("digits"),
+        _num(low.rlike(f"^[{CONSONANTS}]*$") & (low == F.lower(seg))).alias("abbreviation"),
+        _num(F.lower(part(target, "xxXX", 2)) == token(1)).alias("xxXX"),
     ]
 
 
 def length_histogram(seg: Column, buckets: int = 20) -> Column:
     """How many tokens have length 1 to ``buckets``; longer ones count in the last."""
-    t = F.split(seg, " ")
+    t = tokens(seg)
     return F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: F.size(F.filter(t, lambda w: F.least(F.length(w), F.lit(buckets)) == i)).cast("double"))
 
 
@@ -182,13 +195,70 @@ def coverage(seg: Column, lexicon: list[str]) -> Column:
     return F.aggregate(hit, F.lit(0.0), lambda a, w: a + F.length(w)) / F.size(t)
 
 
-def tag_features(target: Column) -> list[Column]:
-    """Of the whole tag: length, digits only, no vowel, letters then digits, digits then letters, camel case."""
-    low = F.lower(target)
-    return [
-        F.length(low).cast("double").alias("length"), _num(low.rlike("^[0-9]+$")).alias("digit_tag"), _num(low.rlike("^[bcdfghjklmnpqrstvwxz]+$")).alias("no_vowel"),
-        _num(low.rlike("^[a-z]+[0-9]+$")).alias("letters_digits"), _num(low.rlike("^[0-9]+[a-z]+$")).alias("digits_letters"), _num(F.size(camel_split(target)) > 1).alias("camel_tag"),
+TAG_FEATURES = ("length", "single_word", "count_tag", "count_best", "in_dictionary", "in_titles", "in_title_tokens", "in_slang", "digit_tag", "no_vowel", "digits_letters", "letters_digits", "camel_tag")
+
+
+def _flags(terms: DataFrame) -> DataFrame:
+    """(term, one 0/1 column a kind) of (term, kind), in lower case and trimmed, but for titles, which keep the blank that cut brackets leave."""
+    t = F.lower(F.when(F.col("kind") == "title", F.col("term")).otherwise(F.trim("term")))
+    return terms.where(F.col("term").isNotNull()).groupBy(t.alias("term")).agg(*[F.max((F.col("kind") == k).cast("double")).alias(k) for k in ("dictionary", "title", "title_token", "slang")])
+
+
+def title_terms(titles: DataFrame, title: str) -> DataFrame:
+    """(term, kind): titles in lower case without what stands in brackets, and the words of them."""
+    low = F.regexp_replace(F.lower(F.trim(F.col(title))), r"[(\[].*?[)\]]", "")
+    both = F.array_distinct(F.concat(F.array(F.struct(low.alias("term"), F.lit("title").alias("kind"))), F.transform(tokens(low), lambda w: F.struct(w.alias("term"), F.lit("title_token").alias("kind")))))
+    return titles.where(F.col(title).isNotNull()).select(F.inline(both)).distinct()
+
+
+def tag_features(candidates: DataFrame, seg: str, best: str, counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``candidates`` with the thirteen TAG_FEATURES of the tag that ``seg`` is a segmentation of.
+
+    Length; whether the best candidate is one word; counts (``counts``: key, log_count) of the tag and of the
+    best candidate, 0 where unknown; whether ``terms`` (term, kind) has the tag as a dictionary word, title, word
+    of a title or slang; digits only; consonants only; digits then letters; letters then digits; camel case of a
+    tag that is no title. Lookups are equi-joins on distinct keys, so Spark broadcasts what it knows to be small.
+    """
+    flags, many = _flags(terms), F.size(tokens(F.col(best)))
+    one = counts.groupBy(F.lower(F.trim("key")).alias("_k")).agg(F.max("log_count").alias("_n"))
+    c = candidates.withColumn("_org", _squeezed(F.col(seg))).withColumn("_low", F.lower("_org")).withColumn("_best", F.lower(best))
+    c = c.join(flags, c["_low"] == flags["term"], "left").drop("term")
+    for k, out in (("_low", "count_tag"), ("_best", "count_best")):
+        c = c.join(one.withColumnsRenamed({"_k": k, "_n": out}), k, "left")
+    low, zero = F.col("_low"), lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    values = [
+        F.length(low).cast("double"), _num(many == 1), zero("count_tag"), zero("count_best"), zero("dictionary"), zero("title"), zero("title_token"), zero("slang"), _num(low.rlike(r"^\p{Nd}+$")), _num(low.rlike(f"^[{CONSONANTS}]*$")),
+        _num(low.rlike(_PART["ddxx"])), _num(low.rlike(_PART["xxdd"])), _num((F.size(camel_split(F.col("_org"))) > 1) & (zero("title") == 0)),
     ]
+    return c.select(*candidates.columns, *[v.alias(n) for v, n in zip(values, TAG_FEATURES)])
+
+
+def candidate_features(candidates: DataFrame, seg: str, scores: list[str], counts: list[DataFrame], terms: DataFrame, out: str = "features") -> DataFrame:
+    """``candidates`` with the vector of a candidate: model ``scores`` (columns), its count in each of ``counts``
+    (key, log_count), 20 lengths, 7 shapes, whether it is a title and a word of titles, whether it is slang, and the
+    share of its letters in words of the dictionary or slang per token.
+
+    A candidate of one word is looked up by its stem too.
+    """
+    flags = _flags(terms)
+    c = candidates.withColumn("_id", F.monotonically_increasing_id()).withColumn("_low", F.lower(seg)).withColumn("_words", tokens(F.lower(seg)))
+    stem = F.when(F.size("_words") == 1, F.get(stems(F.array("_low")), F.lit(0)))
+    c = c.withColumn("_stem", stem)
+    for i, n in enumerate(counts):
+        one = n.groupBy(F.lower(F.trim("key")).alias("_low")).agg(F.max("log_count").alias(f"_n{i}"))
+        c = c.join(one, "_low", "left")
+    for key, mark in (("_low", "a"), ("_stem", "b")):
+        side = flags.select(F.col("term").alias(key), *[F.col(k).alias(f"_{mark}_{k}") for k in ("title", "title_token", "slang")])
+        c = c.join(side, key, "left")
+    # letters in known words, summed per distinct text so that the rows themselves aren't shuffled twice
+    words = candidates.select(F.lower(seg).alias("_low")).distinct().select("_low", F.explode(tokens(F.col("_low"))).alias("term"))
+    known = words.join(flags.where("dictionary > 0 OR slang > 0").select("term"), "term").groupBy("_low").agg(F.sum(F.length("term")).cast("double").alias("_known"))
+    c = c.join(known, "_low", "left")
+    flag = lambda k: F.greatest(F.coalesce(F.col(f"_a_{k}"), F.lit(0.0)), F.coalesce(F.col(f"_b_{k}"), F.lit(0.0)))
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0.0)).cast("double")
+    share = F.coalesce(F.try_divide(zero("_known"), F.size("_words")), F.lit(0.0))
+    vector = F.concat(F.array(*[F.col(s).cast("double") for s in scores], *[zero(f"_n{i}") for i in range(len(counts))]), length_histogram(F.col(seg)), F.array(*word_shapes(F.col(seg)), flag("title"), flag("title_token"), flag("slang"), share))
+    return c.select(*candidates.columns, vector.alias(out))
 
 
 def replace_tags(texts: DataFrame, key: str, text: str, segmented: DataFrame, tag: str = "tag", seg: str = "seg") -> DataFrame:
@@ -205,7 +275,3 @@ def replace_tags(texts: DataFrame, key: str, text: str, segmented: DataFrame, ta
     new = F.transform("toks", lambda x: F.coalesce(F.try_element_at(F.col("segs"), x), x))
     return j.select(F.col("key").alias(key), F.lower(F.array_join(new, " ")).alias(text))
 
-
-def feature_vector(seg: Column, lm_score: Column, counts: list[Column], entity: list[Column], slang: Column, lexicon: list[str]) -> Column:
-    """The vector of a candidate: model score, count scores, 20 lengths, 7 shapes, 2 entity flags, slang, coverage."""
-    return F.concat(F.array(lm_score, *counts), length_histogram(seg), F.array(*word_shapes(seg)), F.array(*entity, slang, coverage(seg, lexicon)))

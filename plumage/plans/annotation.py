@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumage.functions import text as X
 from plumage.operators import annotate as A
 from plumage.operators import folds as O
 from plumage.operators.tweets import tweet_id
@@ -56,7 +57,7 @@ def new_mismatches(read):
     rf"""WITH {_PAIRS}, c AS (SELECT t1 AS tweet_id, x1 AS full_text, CASE WHEN finding = 'agree' THEN l1 ELSE l2 END AS language, CASE WHEN finding = 'agree' THEN m1 ELSE m2 END AS m, file_name
          FROM f WHERE finding = 'agree' OR finding = 'mismatch' AND row_idx % 3 = 0)
          SELECT tweet_id, md5(full_text) AS text_md5, CASE WHEN language = 'French' THEN 'Not Sure' ELSE m END AS mask_sentiment, language, file_name FROM c
-         WHERE len(list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> '')) >= 5""",
+         WHERE len(list_filter(string_split_regex(full_text, '[{X.WHITE}]+'), lambda x: x <> '')) >= 5""",
 )
 def consolidate(read):
     c = A.consolidate(_reviewed(read), _resolved(read))

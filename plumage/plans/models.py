@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumage.functions import text as X
 from plumage.functions.text import tokens
 from plumage.operators import features as T
 from plumage.operators import knn as K
@@ -14,7 +15,7 @@ reg = Registry()
 FOLDS = 5
 
 #: Labelled texts: rated ones, by sentiment; the fold is the row's number modulo 5.
-_DOCS = r"""docs AS (SELECT rating_id AS doc, mask_sentiment AS class, (rating_id % 5)::INT AS fold, list_filter(string_split_regex(lower(full_text), '\s+'), lambda x: x <> '') AS tokens FROM rated_tweets WHERE mask_sentiment IS NOT NULL),
+_DOCS = rf"""docs AS (SELECT rating_id AS doc, mask_sentiment AS class, (rating_id % 5)::INT AS fold, list_filter(string_split_regex(lower(full_text), '[{X.WHITE}]+'), lambda x: x <> '') AS tokens FROM rated_tweets WHERE mask_sentiment IS NOT NULL),
   vs AS (SELECT unnest(range(-1, 5))::INT AS v),
   tr AS (SELECT v, docs.* FROM docs, vs WHERE fold <> v),
   cf AS (SELECT v, class, count(*) AS n_docs FROM tr GROUP BY 1, 2),
@@ -59,7 +60,7 @@ def prior(read):
     return T.priors(docs_of(read), FOLDS).select("v", "class", F.round("prior", 9).alias("prior"))
 
 
-@reg.query("vocab", r"SELECT count(DISTINCT t) AS size FROM (SELECT unnest(string_split_regex(lower(full_text), '\s+')) AS t FROM rated_tweets WHERE mask_sentiment IS NOT NULL) WHERE t <> ''")
+@reg.query("vocab", rf"SELECT count(DISTINCT t) AS size FROM (SELECT unnest(string_split_regex(lower(full_text), '[{X.WHITE}]+')) AS t FROM rated_tweets WHERE mask_sentiment IS NOT NULL) WHERE t <> ''")
 def vocab(read):
     return docs_of(read).select(F.explode("tokens").alias("t")).distinct().agg(F.count(F.lit(1)).alias("size"))
 
@@ -177,7 +178,7 @@ def fold_avg_nullsafe(read):
     return M.fold_average(p, ["class"], ["precision", "recall"]).select("class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@reg.query("tfidf", r"""WITH d AS (SELECT rating_id AS doc, list_filter(string_split_regex(lower(full_text), '\s+'), lambda x: x <> '') AS t FROM rated_tweets WHERE mask_sentiment IS NOT NULL), u AS (SELECT doc, len(t) AS l, unnest(t) AS term FROM d), c AS (SELECT doc, l, term, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)
+@reg.query("tfidf", rf"""WITH d AS (SELECT rating_id AS doc, list_filter(string_split_regex(lower(full_text), '[{X.WHITE}]+'), lambda x: x <> '') AS t FROM rated_tweets WHERE mask_sentiment IS NOT NULL), u AS (SELECT doc, len(t) AS l, unnest(t) AS term FROM d), c AS (SELECT doc, l, term, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)
     SELECT doc, term, round(n / l * ln((SELECT count(*) FROM d) / df), 6) AS tfidf FROM c JOIN f USING (term)""")
 def tfidf(read):
     return T.tfidf(docs_of(read)).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))

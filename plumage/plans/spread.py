@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from plumage.functions import text as X
 from plumage.functions.text import camel_split, hashtags, tokens
 from plumage.operators import hashtag as H
 from plumage.operators import locate as L
@@ -109,7 +110,7 @@ def slp_lookup(read):
 
 # ---- hashtags --------------------------------------------------------------------------------------
 
-_TAGS = r"tags AS (SELECT DISTINCT substr(h, 2) AS tag FROM (SELECT unnest(list_filter(string_split_regex(tweet_json.full_text, '\s+'), lambda x: starts_with(x, '#'))) AS h FROM tweets) WHERE regexp_full_match(h, '#[A-Za-z]+'))"
+_TAGS = rf"tags AS (SELECT DISTINCT substr(h, 2) AS tag FROM (SELECT unnest(list_filter(string_split_regex(tweet_json.full_text, '[{X.WHITE}]+'), lambda x: starts_with(x, '#'))) AS h FROM tweets) WHERE regexp_full_match(h, '#[A-Za-z]+'))"
 _GOLD = r"gold AS (SELECT tag, regexp_replace(regexp_replace(tag, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g') AS gold FROM tags)"
 
 
@@ -132,7 +133,7 @@ def _cands(read):
     return _gold(read).select("tag", "gold", F.array("tag", "gold", two).alias("cands"))
 
 
-@reg.query("ngram_counts", r"WITH t AS (SELECT list_filter(string_split_regex(lower(full_text), '\s+'), lambda x: x <> '') AS w FROM rated_tweets), g AS (SELECT unnest(w) AS ngram, 1 AS n FROM t UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])), 2 FROM t UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])), 3 FROM t) SELECT ngram, n, count(*) AS count FROM g GROUP BY 1, 2")
+@reg.query("ngram_counts", rf"WITH t AS (SELECT list_filter(string_split_regex(lower(full_text), '[{X.WHITE}]+'), lambda x: x <> '') AS w FROM rated_tweets), g AS (SELECT unnest(w) AS ngram, 1 AS n FROM t UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])), 2 FROM t UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])), 3 FROM t) SELECT ngram, n, count(*) AS count FROM g GROUP BY 1, 2")
 def ngram_counts(read):
     return H.ngram_counts(read("rated_tweets").select(tokens(F.lower("full_text")).alias("w")), "w")
 
@@ -176,15 +177,71 @@ def len_histogram(read):
     return _gold(read).select("tag", F.posexplode(H.length_histogram(F.col("gold")))).select("tag", (F.col("pos") + 1).alias("length"), F.col("col").alias("n"))
 
 
-@reg.query("word_shapes", f"WITH {_TAGS}, {_GOLD}, {_CANDS} SELECT tag, c AS seg, (gold = c AND lower(tag) <> tag)::INT::DOUBLE AS camel, (lower(c) = lower(tag) AND length(tag) <= 4)::INT::DOUBLE AS abbreviation FROM (SELECT tag, gold, unnest(cands) AS c FROM cand)")
+#: Tags of letters, digits and underscores, each uncut, cut at capitals, between digits and letters, and at underscores.
+_ALL_TAGS = rf"""all_tags AS (SELECT DISTINCT substr(h, 2) AS tag FROM (SELECT unnest(list_filter(string_split_regex(tweet_json.full_text, '[{X.WHITE}]+'), lambda x: starts_with(x, '#'))) AS h FROM tweets) WHERE regexp_full_match(h, '#[A-Za-z0-9_]+')),
+  camel AS (SELECT tag, regexp_replace(regexp_replace(tag, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g') AS best FROM all_tags),
+  segs AS (SELECT DISTINCT tag, best, unnest([tag, best, regexp_replace(regexp_replace(tag, '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g'), trim(replace(tag, '_', ' _ '))]) AS seg FROM camel)"""
+
+
+def _segs(read):
+    h = read("tweets").select(F.explode(hashtags(F.col("tweet_json.full_text"))).alias("h")).select(F.expr("substring(h, 2)").alias("tag"))
+    t = h.where(F.col("tag").rlike("^[A-Za-z0-9_]+$")).distinct().withColumn("best", F.array_join(camel_split(F.col("tag")), " "))
+    digits = F.regexp_replace(F.regexp_replace("tag", "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
+    return t.select("tag", "best", F.explode(F.array_distinct(F.array("tag", "best", digits, F.trim(F.replace("tag", F.lit("_"), F.lit(" _ ")))))).alias("seg"))
+
+
+@reg.query(
+    "word_shapes",
+    f"""WITH {_ALL_TAGS}, s AS (SELECT tag, seg, replace(seg, ' ', '') AS o, lower(replace(seg, ' ', '')) AS low, string_split(lower(seg), ' ') AS t FROM segs)
+        SELECT tag, seg, (regexp_full_match(low, '[a-z]+[0-9]+') AND len(t) > 1 AND regexp_extract(low, '[0-9]+$') = t[2])::INT::DOUBLE AS xxdd,
+        (regexp_full_match(low, '[0-9]+[a-z]+') AND len(t) > 1 AND regexp_extract(low, '^[0-9]+') = t[1])::INT::DOUBLE AS ddxx,
+        (seg = regexp_replace(regexp_replace(o, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g') AND o <> low)::INT::DOUBLE AS camel,
+        (contains(o, '_') AND seg = trim(replace(o, '_', ' _ ')))::INT::DOUBLE AS underscore, (regexp_full_match(o, '[0-9]+') AND seg = o)::INT::DOUBLE AS digits,
+        (regexp_full_match(low, '[bcdfghjklmnpqrstvwxyz]*') AND low = lower(seg))::INT::DOUBLE AS abbreviation,
+        (regexp_full_match(o, '[a-z]+[A-Z]+') AND len(t) > 1 AND lower(regexp_extract(o, '[A-Z]+$')) = t[2])::INT::DOUBLE AS "xxXX" FROM s""",
+)
 def word_shapes(read):
-    c = _cands(read).select("tag", F.explode("cands").alias("seg"))
-    return c.select("tag", "seg", *H.word_shapes(F.col("seg"))).select("tag", "seg", "camel", "abbreviation")
+    return _segs(read).select("tag", "seg", *H.word_shapes(F.col("seg")))
+
+
+#: Lists that stand for assets: words of rated texts as dictionary and counts, listed towns as titles, occupations as slang.
+_LISTS = rf"""words AS (SELECT w AS key, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(full_text), '[{X.WHITE}]+')) AS w FROM rated_tweets) WHERE w <> '' GROUP BY 1),
+  titles AS (SELECT DISTINCT regexp_replace(lower(trim(name)), '[(\[].*?[)\]]', '', 'g') AS term FROM places), title_words AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS term FROM titles), slang AS (SELECT DISTINCT lower(trim(title)) AS term FROM job_titles)"""
 
 
-@reg.query("tag_features", f"WITH {_TAGS} SELECT tag, length(tag)::DOUBLE AS length, regexp_full_match(lower(tag), '[bcdfghjklmnpqrstvwxz]+')::INT::DOUBLE AS no_vowel FROM tags")
+def _lists(read):
+    words = H.ngram_counts(read("rated_tweets").select(tokens(F.lower("full_text")).alias("w")), "w", 1)
+    terms = H.title_terms(read("places"), "name").unionByName(words.select(F.col("ngram").alias("term"), F.lit("dictionary").alias("kind"))).unionByName(read("job_titles").select(F.col("title").alias("term"), F.lit("slang").alias("kind")))
+    return H.log_counts(words, "ngram", "count").withColumnRenamed("ngram", "key"), terms
+
+
+@reg.query(
+    "tag_features",
+    f"""WITH {_ALL_TAGS}, {_LISTS}, s AS (SELECT *, lower(tag) AS low FROM camel)
+        SELECT tag, length(low)::DOUBLE AS length, (best NOT LIKE '% %')::INT::DOUBLE AS single_word, round(coalesce((SELECT log10(n + 1) FROM words WHERE key = low), 0), 6) AS count_tag,
+        round(coalesce((SELECT log10(n + 1) FROM words WHERE key = lower(best)), 0), 6) AS count_best, (low IN (SELECT key FROM words))::INT::DOUBLE AS in_dictionary, (low IN (SELECT term FROM titles))::INT::DOUBLE AS in_titles,
+        (low IN (SELECT term FROM title_words))::INT::DOUBLE AS in_title_tokens, (low IN (SELECT term FROM slang))::INT::DOUBLE AS in_slang, regexp_full_match(low, '[0-9]+')::INT::DOUBLE AS digit_tag,
+        regexp_full_match(low, '[bcdfghjklmnpqrstvwxyz]*')::INT::DOUBLE AS no_vowel, regexp_full_match(low, '[0-9]+[a-z]+')::INT::DOUBLE AS digits_letters, regexp_full_match(low, '[a-z]+[0-9]+')::INT::DOUBLE AS letters_digits,
+        (best LIKE '% %' AND low NOT IN (SELECT term FROM titles))::INT::DOUBLE AS camel_tag FROM s""",
+)
 def tag_features(read):
-    return _tags(read).select("tag", *H.tag_features(F.col("tag"))).select("tag", "length", "no_vowel")
+    counts, terms = _lists(read)
+    t = _segs(read).select("tag", "best").distinct()
+    return H.tag_features(t, "tag", "best", counts, terms).drop("best").withColumns({c: F.round(c, 6) for c in ("count_tag", "count_best")})
+
+
+@reg.query(
+    "candidate_vector",
+    f"""WITH {_ALL_TAGS}, {_LISTS}, s AS (SELECT tag, seg, string_split(lower(seg), ' ') AS t FROM segs), k AS (SELECT tag, seg, sum(length(w)) AS known FROM (SELECT tag, seg, unnest(t) AS w FROM s) WHERE w IN (SELECT key FROM words) OR w IN (SELECT term FROM slang) GROUP BY 1, 2)
+        SELECT tag, seg, 34 AS size, length(seg)::DOUBLE AS score, round(coalesce((SELECT log10(n + 1) FROM words WHERE key = lower(seg)), 0), 6) AS count_seg, len(list_filter(t, lambda x: length(x) = 4))::DOUBLE AS of_four,
+        len(list_filter(t, lambda x: length(x) >= 20))::DOUBLE AS of_twenty, round(coalesce(known, 0) / len(t), 6) AS known FROM s LEFT JOIN k USING (tag, seg)""",
+)
+def candidate_vector(read):
+    """Parts of the vectors of all candidates; the text's length stands for a model's score."""
+    counts, terms = _lists(read)
+    c = H.candidate_features(_segs(read).withColumn("score", F.length("seg").cast("double")), "seg", ["score"], [counts, counts], terms)
+    at = lambda i: F.get("features", F.lit(i))
+    return c.select("tag", "seg", F.size("features").alias("size"), "score", F.round(at(1), 6).alias("count_seg"), at(6).alias("of_four"), at(22).alias("of_twenty"), F.round(at(33), 6).alias("known"))
 
 
 @reg.query("lexicon_coverage", f"WITH {_TAGS}, {_GOLD} SELECT tag, round(coalesce(list_sum(list_transform(list_filter(string_split(lower(gold), ' '), lambda x: x IN ('mask', 'masks', 'up', 'for', 'all', 'home', 'now')), lambda x: length(x))), 0) / len(string_split(gold, ' ')), 6) AS coverage FROM gold")
@@ -230,7 +287,7 @@ def rerank_greedy(read):
     return R.rerank(both.select("tag", "a", "b", score("x").alias("score")), "tag")
 
 
-@reg.query("hashtag_text", rf"""WITH {_TAGS}, {_GOLD}, t AS (SELECT rating_id, list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> '') AS w FROM rated_tweets), u AS (SELECT rating_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t)
+@reg.query("hashtag_text", rf"""WITH {_TAGS}, {_GOLD}, t AS (SELECT rating_id, list_filter(string_split_regex(full_text, '[{X.WHITE}]+'), lambda x: x <> '') AS w FROM rated_tweets), u AS (SELECT rating_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t)
     SELECT rating_id, md5(lower(string_agg(coalesce(gold, x), ' ' ORDER BY i))) AS text_md5 FROM u LEFT JOIN gold ON starts_with(x, '#') AND length(x) > 1 AND gold.tag = substr(x, 2) GROUP BY 1""")
 def hashtag_text(read):
     """Texts with their tags written out as words."""

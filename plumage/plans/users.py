@@ -120,21 +120,21 @@ def jsonpath_project(read):
     return read("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-_KEY = f"""(list_has_any(string_split_regex(lower(coalesce({{0}}, '')), '\\s+'), {_LIST(X.MASK_KEYWORDS)}) OR """ + " OR ".join(f"contains(lower(coalesce({{0}}, '')), '{p}')" for p in X.MASK_PHRASES) + ")"
 _TXT = "tweet_json.full_text"
+_KEY = f"""(list_has_any(string_split_regex(lower(coalesce({_TXT}, '')), '[{X.WHITE}]+'), {_LIST(X.MASK_KEYWORDS)}) OR """ + " OR ".join(f"contains(lower(coalesce({_TXT}, '')), '{p}')" for p in X.MASK_PHRASES) + ")"
 
 
-@reg.query("keyword_or_phrase", f"SELECT delivery_id FROM tweets WHERE {_KEY.format(_TXT)}")
+@reg.query("keyword_or_phrase", f"SELECT delivery_id FROM tweets WHERE {_KEY}")
 def keyword_or_phrase(read):
     return read("tweets").where(X.keyword_or_phrase(F.col(_TXT))).select("delivery_id")
 
 
-_TOK = f"string_split_regex(lower(coalesce({_TXT}, '')), '\\s+')"
+_TOK = f"string_split_regex(lower(coalesce({_TXT}, '')), '[{X.WHITE}]+')"
 
 
 @reg.query(
     "conditional_limit50",
-    f"""SELECT delivery_id, source_file FROM tweets WHERE {_KEY.format(_TXT)} AND (list_has_any({_TOK}, ['if', 'unless']) OR list_has_all({_TOK}, ['not', 'necessarily'])) ORDER BY source_file, delivery_id LIMIT 50""",
+    f"""SELECT delivery_id, source_file FROM tweets WHERE {_KEY} AND (list_has_any({_TOK}, ['if', 'unless']) OR list_has_all({_TOK}, ['not', 'necessarily'])) ORDER BY source_file, delivery_id LIMIT 50""",
 )
 def conditional_limit50(read):
     c = F.col(_TXT)
@@ -203,7 +203,7 @@ _GONE = (X.PUNCTUATION + X.TYPOGRAPHIC).replace("'", "''")
 _GONE_HASH = (X.PUNCTUATION.replace("#", "") + X.TYPOGRAPHIC).replace("'", "''")
 
 
-@reg.query("tokens", r"SELECT count(*) AS n, count(DISTINCT t) AS n_distinct FROM (SELECT unnest(string_split_regex(text, '\s+')) AS t FROM documents) WHERE t <> ''")
+@reg.query("tokens", rf"SELECT count(*) AS n, count(DISTINCT t) AS n_distinct FROM (SELECT unnest(string_split_regex(text, '[{X.WHITE}]+')) AS t FROM documents) WHERE t <> ''")
 def tokens(read):
     t = read("documents").select(F.explode(X.tokens(F.col("text"))).alias("t"))
     return t.groupBy("t").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
@@ -211,7 +211,7 @@ def tokens(read):
 
 @reg.query(
     "normalise_std",
-    rf"""SELECT delivery_id, md5(array_to_string(list_filter(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace({_TXT}, 'http\S+', '', 'g'), 'www\.\S+', '', 'g'), '\s+'),
+    rf"""SELECT delivery_id, md5(array_to_string(list_filter(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace({_TXT}, 'http[^{X.WHITE}]+', '', 'g'), 'www\.[^{X.WHITE}]+', '', 'g'), '[{X.WHITE}]+'),
          lambda x: x <> '' AND NOT (starts_with(x, '#') AND length(x) > 1)), lambda x: translate(lower(x), '{_GONE}', '')), lambda x: x <> '' AND NOT list_contains({_STOP}, x)), ' ')) AS h FROM tweets""",
 )
 def normalise_std(read):
@@ -220,29 +220,29 @@ def normalise_std(read):
 
 @reg.query(
     "normalise_tokens",
-    rf"""SELECT t, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(string_split_regex(full_text, '\s+'), lambda x: x <> ''), lambda x: translate(lower(x), '{_GONE_HASH}', ''))) AS t FROM rated_tweets)
+    rf"""SELECT t, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(string_split_regex(full_text, '[{X.WHITE}]+'), lambda x: x <> ''), lambda x: translate(lower(x), '{_GONE_HASH}', ''))) AS t FROM rated_tweets)
          WHERE t <> '' AND NOT list_contains({_STOP}, t) GROUP BY t""",
 )
 def normalise_tokens(read):
     return read("rated_tweets").select(F.explode(X.normalise_tokens(X.tokens(F.col("full_text")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
-@reg.query("hashtag_extract", r"SELECT h, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(tweet_json.full_text, '\s+'), lambda x: starts_with(x, '#'))) AS h FROM tweets) GROUP BY h")
+@reg.query("hashtag_extract", rf"SELECT h, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(tweet_json.full_text, '[{X.WHITE}]+'), lambda x: starts_with(x, '#'))) AS h FROM tweets) GROUP BY h")
 def hashtag_extract(read):
     return read("tweets").select(F.explode(X.hashtags(F.col(_TXT))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
 @reg.query(
     "camel_split",
-    r"""SELECT h, regexp_replace(regexp_replace(h, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g') AS words
-        FROM (SELECT DISTINCT substr(unnest(list_filter(string_split_regex(tweet_json.full_text, '\s+'), lambda x: starts_with(x, '#'))), 2) AS h FROM tweets) WHERE regexp_full_match(h, '[A-Za-z]+')""",
+    rf"""SELECT h, regexp_replace(regexp_replace(h, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g') AS words
+        FROM (SELECT DISTINCT substr(unnest(list_filter(string_split_regex(tweet_json.full_text, '[{X.WHITE}]+'), lambda x: starts_with(x, '#'))), 2) AS h FROM tweets) WHERE regexp_full_match(h, '[A-Za-z]+')""",
 )
 def camel_split(read):
     h = read("tweets").select(F.explode(X.hashtags(F.col(_TXT))).alias("h")).select(F.expr("substring(h, 2)").alias("h"))
     return h.where(F.col("h").rlike("^[A-Za-z]+$")).distinct().select("h", F.array_join(X.camel_split(F.col("h")), " ").alias("words"))
 
 
-@reg.query("strip_urls", rf"SELECT delivery_id, md5(regexp_replace(regexp_replace({_TXT}, 'http\S+', '', 'g'), 'www\.\S+', '', 'g')) AS h FROM tweets")
+@reg.query("strip_urls", rf"SELECT delivery_id, md5(regexp_replace(regexp_replace({_TXT}, 'http[^{X.WHITE}]+', '', 'g'), 'www\.[^{X.WHITE}]+', '', 'g')) AS h FROM tweets")
 def strip_urls(read):
     return read("tweets").select("delivery_id", F.md5(X.strip_urls(F.col(_TXT))).alias("h"))
 
@@ -262,7 +262,7 @@ _WORDS = {"thank": 1.5, "kind": 2.1, "fine": 0.8, "better": 1.9, "harder": -0.4,
 @reg.query(
     "sentiment_scores",
     rf"""WITH lex(w, v) AS (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for w, v in _WORDS.items())}),
-         t AS (SELECT rating_id, translate(lower(x), '{_GONE_HASH}', '') AS w FROM (SELECT rating_id, unnest(string_split_regex(full_text, '\s+')) AS x FROM rated_tweets)),
+         t AS (SELECT rating_id, translate(lower(x), '{_GONE_HASH}', '') AS w FROM (SELECT rating_id, unnest(string_split_regex(full_text, '[{X.WHITE}]+')) AS x FROM rated_tweets)),
          s AS (SELECT rating_id, sum(coalesce(v, 0)) AS s FROM t LEFT JOIN lex USING (w) WHERE w <> '' GROUP BY 1)
          SELECT rating_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15), 6) AS compound FROM rated_tweets LEFT JOIN s USING (rating_id)""",
 )

@@ -230,5 +230,26 @@ def test_treebank_like_words(spark):
 def test_embed_and_vector(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string")
     assert {r.id: r.vec for r in K.embed(df, "id", "t", lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0]}
-    v = spark.createDataFrame([("No mask19",)], "s string").select(H.feature_vector(F.col("s"), F.lit(-1.5), [F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(0.0)], F.lit(0.0), ["no"]).alias("v")).first().v
-    assert len(v) == 34 and v[0] == -1.5 and v[3 + 1] == 1 and v[3 + 5] == 1 and v[-1] == 1.0
+
+
+def test_unicode_white_space(spark):
+    t = "no\u00a0mask\u2003now\x1fplease\u3000\u2028"
+    r = one(spark, X.tokens(F.lit(t)).alias("t"), X.keyword_or_phrase(F.lit("a\u00a0mask\u202fhere")).alias("k"), X.strip_urls(F.lit("x https://a.b\u00a0c")).alias("u"), X.strip_mentions(F.lit("@a\u2009b")).alias("m"))
+    assert r.t == t.split() and r.k and r.u == "x \u00a0c" and r.m == "\u2009b"
+
+
+def test_word_shapes_and_tag_features(spark):
+    segs = ["19 mask fans", "mask 19", "gym", "gy m", "no Mask", "no MASK", "Wear Mask", "a _ b", "42", "x", "ab42 cd"]
+    got = {r.s: {k: v for k, v in r.asDict().items() if v == 1.0} for r in spark.createDataFrame([(s,) for s in segs], "s string").select("s", *H.word_shapes(F.col("s"))).collect()}
+    want = {"19 mask fans": {"ddxx"}, "mask 19": {"xxdd"}, "gym": {"abbreviation"}, "gy m": set(), "no Mask": {"camel"}, "no MASK": {"camel", "xxXX"}, "Wear Mask": {"camel"}, "a _ b": {"underscore"}, "42": {"digits"}, "x": {"abbreviation"}, "ab42 cd": set()}
+    assert {s: set(v) for s, v in got.items()} == want
+    counts = spark.createDataFrame([("gym", 2.0), ("Gym ", 3.0), ("no mask", 1.5)], "key string, log_count double")
+    terms = H.title_terms(spark.createDataFrame([("Gym (place)",), ("Saint John",), (None,)], "t string"), "t").unionByName(spark.createDataFrame([("running", "dictionary"), ("run", "slang"), (None, "slang")], "term string, kind string"))
+    c = spark.createDataFrame([(1, "gym", "gym"), (2, "no Mask", "no Mask"), (3, "19 mask", "19 mask"), (4, "running", "running"), (5, "john", "jo hn")], "id long, seg string, best string")
+    f = {r.id: [r[n] for n in H.TAG_FEATURES] for r in H.tag_features(c, "seg", "best", counts, terms).collect()}
+    assert f[1] == [3, 1, 3.0, 3.0, 0, 0, 0, 0, 0, 1, 0, 0, 0]  # the title "gym " keeps its blank, as its word does not
+    assert f[2] == [6, 0, 0, 1.5, 0, 0, 0, 0, 0, 0, 0, 0, 1] and f[3][10] == 1 and f[4][4] == 1 and f[5][:2] == [4, 0] and f[5][6] == 1
+    v = {r.id: r.features for r in H.candidate_features(c.withColumn("lm", F.lit(-1.5)), "seg", ["lm"], [counts, counts], terms).collect()}
+    assert all(len(x) == 34 for x in v.values()) and v[1][:3] == [-1.5, 3.0, 3.0] and v[2][3:23][1] == 1 and v[2][3:23][3] == 1
+    assert v[4][30:] == [0, 0, 1, 7.0] and v[5][30:33] == [0, 1, 0]  # running: slang by its stem, known as a whole
+    assert H.tag_features(c.limit(0), "seg", "best", counts, terms).count() == 0
