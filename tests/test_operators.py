@@ -247,7 +247,7 @@ def test_word_shapes_and_tag_features(spark):
     terms = H.title_terms(spark.createDataFrame([("Gym (place)",), ("Saint John",), (None,)], "t string"), "t").unionByName(spark.createDataFrame([("running", "dictionary"), ("run", "slang"), (None, "slang")], "term string, kind string"))
     c = spark.createDataFrame([(1, "gym", "gym"), (2, "no Mask", "no Mask"), (3, "19 mask", "19 mask"), (4, "running", "running"), (5, "john", "jo hn")], "id long, seg string, best string")
     f = {r.id: [r[n] for n in H.TAG_FEATURES] for r in H.tag_features(c, "seg", "best", counts, terms).collect()}
-    assert f[1] == [3, 1, 3.0, 3.0, 0, 0, 0, 0, 0, 1, 0, 0, 0]  # the title "gym " keeps its blank, as its word does not
+    assert f[1] == [3, 1, 3.0, 3.0, 0, 0, 1, 0, 0, 1, 0, 0, 0]  # the title "gym " keeps its blank, as its word does not
     assert f[2] == [6, 0, 0, 1.5, 0, 0, 0, 0, 0, 0, 0, 0, 1] and f[3][10] == 1 and f[4][4] == 1 and f[5][:2] == [4, 0] and f[5][6] == 1
     v = {r.id: r.features for r in H.candidate_features(c.withColumn("lm", F.lit(-1.5)), "seg", ["lm"], [counts, counts], terms).collect()}
     assert all(len(x) == 34 for x in v.values()) and v[1][:3] == [-1.5, 3.0, 3.0] and v[2][3:23][1] == 1 and v[2][3:23][3] == 1
