@@ -43,13 +43,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` if it is proven to have at most ``max_rows`` rows, else ``df`` unhinted.
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """``broadcast(df)`` if it is proven to have at most ``max_rows`` rows and about ``max_bytes`` bytes, else ``df`` unhinted.
 
-    The proof reads at most ``max_rows + 1`` rows.
+    The proof reads at most ``max_rows + 1`` rows; bytes are those of the rows written out as JSON. A ``df`` that is dear to
+    compute should have its lineage cut before.
     """
-    n = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    some = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(max_rows + 1)
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, its rows spread evenly where it would run as fewer tasks than the cluster has cores.
+
+    For operators that spend far more time on a row than its transfer takes: files of few row groups are read by as few
+    tasks. Inputs of many splits are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def default_partitions(spark: SparkSession) -> int:
