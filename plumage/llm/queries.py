@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.langid import fit, label_of, text_language, training_sample, with_segments
+from plumage.llm.langid import fit_once, label_of, text_language, training_sample, with_segments
 from plumage.llm.linkage import link
 from plumage.llm.mixing import mix, shares
 from plumage.llm.packing import pack
@@ -17,7 +18,7 @@ from plumage.llm.textform import alike_pairs, with_form
 from plumage.llm.tokens import n_tokens
 from plumage.operators.tweets import tweet_id
 from plumage.plans.registry import Registry
-from plumage.session import cut_lineage
+from plumage.session import broadcast_if_small, cut_lineage
 
 reg = Registry()
 
@@ -147,18 +148,26 @@ def p7_found(read):
     return out(places, "location").unionByName(out(titles, "description"))
 
 
-def _fitted(read):
+def _sample(read):
     d = read("documents").select(F.col("doc_id").alias("row_key"), "text", F.col("lang").alias("label"))
-    return fit(training_sample(d, "row_key", "text", "label"))
+    return training_sample(d, "row_key", "text", "label")
 
 
-def _segmented(read, net) -> DataFrame:
-    """(table_name, row_key, label, segments) of both tables; documents that are residue excepted."""
-    docs = read("documents").join(residue_evidence(read("documents"), "doc_id", "text", "source").select("doc_id"), "doc_id", "left_anti")
+def _segmented(read) -> DataFrame:
+    """(table_name, row_key, label, segments, text) of both tables; documents that are residue excepted.
+
+    The few keys of residue go to the documents, whose texts stay where they are; where the keys aren't few, Spark
+    shuffles keys and texts.
+    """
+    with ThreadPoolExecutor(1) as driver:  # the fit on the driver and the residue on the executors at the same time
+        net = driver.submit(fit_once, _sample(read))
+        out = cut_lineage(residue_evidence(read("documents"), "doc_id", "text", "source").select("doc_id"))
+        net = net.result()
+    docs = read("documents").select("doc_id", "lang", "text").join(broadcast_if_small(out, 2_000_000), "doc_id", "left_anti")
     both = docs.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_key"), F.col("lang").alias("label"), "text").unionByName(
         read("rated_tweets").select(F.lit("rated_tweets").alias("table_name"), F.col("rating_id").alias("row_key"), F.col("language").alias("label"), F.col("full_text").alias("text"))
     )
-    return with_segments(both, "text", net).drop("text")
+    return with_segments(both, "text", net)
 
 
 def label_fits(label: Column, lang: Column, ratings: Column) -> Column:
@@ -169,7 +178,7 @@ def label_fits(label: Column, lang: Column, ratings: Column) -> Column:
 
 @reg.query("p2_found")
 def p2_found(read):
-    s = _segmented(read, _fitted(read))
+    s = _segmented(read)
     fits = label_fits(F.col("label"), F.get("segments", F.lit(0))["lang"], F.col("table_name") == "rated_tweets")
     out = s.where((F.size("segments") > 1) | ((F.size("segments") == 1) & ~fits))
     return out.select("table_name", "row_key", F.explode("segments").alias("s")).select("table_name", "row_key", "s.seg_no", "s.lang")
@@ -178,5 +187,12 @@ def p2_found(read):
 @reg.query("p2_texts")
 def p2_texts(read):
     """Every text with its language and the confidence in it; null for texts in no language."""
-    s = _segmented(read, _fitted(read)).withColumn("l", text_language(F.col("segments")))
+    s = _segmented(read).withColumn("l", text_language(F.col("segments")))
     return s.select("table_name", "row_key", "l.lang", F.round("l.confidence", 6).alias("confidence"), F.size("segments").alias("n_segments"))
+
+
+@reg.query("p2_segments")
+def p2_segments(read):
+    """Every stretch of every text with its language, confidence and place: a stretch is the stored text's code points from ``start`` to ``end``."""
+    s = _segmented(read).select("table_name", "row_key", F.inline("segments"))
+    return s.select("table_name", "row_key", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words", "start", "end")

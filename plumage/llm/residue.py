@@ -1,16 +1,19 @@
 """Template residue and pages that stand in place of content.
 
-Method. Each document is read once, whole. Detectors find placeholders (slots) of templating notations,
-filler copy, and the sentences of error pages and script notices; what no detector explains are the body
-terms. The terms of the document's addresses (slugs) and of its title line are compared with the body's, and
-the wording with changing references masked gives a fingerprint. Then evidence is combined over all
-documents with little information, whether a cue speaks in them or not: a fingerprint that comes again and again
-and from several hosts, under a title and slugs that its body doesn't take up, is a response page whatever its
-wording; cues and page furniture add to the same score, a title that is taken up takes away. Slot names and the
-phrases around them, learned from unmistakable notations anywhere in the corpus, decide about the ambiguous
-ones (``{city}`` against ``{sarcasm}``) and about empty values (``Dear null,``).
-
-A text that only talks about errors or scripts has other sentences, or tells of somebody; it isn't marked.
+Method. Each document is read once, whole. Detectors find placeholders (slots) of templating notations and filler
+copy; sentences give fingerprints with changing references masked; the terms of the document's addresses (slugs)
+and of its title line are compared with the body's. Then evidence is combined over all documents:
+
+* Wording is a response's if its sentence comes again in several *different* texts of little information, from
+  several hosts, and hardly ever in texts of much information. Copies of one text count once.
+* A document of little information that is made of such sentences is a response page whatever its wording is; a
+  title and slugs that its body drops add to that, those it takes up take away, and so do page furniture and cues
+  (sentences of error pages and script notices) add. One score decides.
+* Slot names and the phrases around them, learned from unmistakable notations anywhere in the corpus, decide about
+  the ambiguous ones (``{city}`` against ``{sarcasm}``) and about empty values (``Dear null,``).
+
+The lists of cues come last: they speak for pages that are the only ones of their kind in a table. A text that
+only talks about errors or scripts has other sentences, or tells of somebody; it isn't marked.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.session import broadcast_if_small, cut_lineage
+from plumage.session import broadcast_if_small, cut_lineage, spread
 
 # Notations of slots. ``n`` is the name. Strong ones are unmistakable.
 _NAME = r"(?P<n>[^\W\d][\w.]*)"
@@ -75,30 +79,18 @@ LOREM = frozenset(
 )
 
 
-def needed(pattern) -> set[str] | None:
-    """Literals of which any text that a parsed pattern matches holds at least one; None if none is sure."""
-    best: set[str] | None = None
-    run = ""
+_OPTIONAL = re.compile(r"(?:\[[^\]]*\]|\\.|[^\\])(?:[?*]|\{0)")
+_RUN = re.compile(r"[^\W\d_]+(?:[ '’][^\W\d_]+)*")
 
-    def offer(found: set[str] | None) -> None:
-        nonlocal best
-        if found and min(map(len, found)) >= 3 and (best is None or min(map(len, found)) > min(map(len, best))):
-            best = found
 
-    for op, arg in [*pattern, (None, None)]:
-        if op is re._constants.LITERAL:
-            run += chr(arg)
-            continue
-        offer({run.lower()} if run else None)
-        run = ""
-        if op is re._constants.SUBPATTERN:
-            offer(needed(arg[3]))
-        elif op is re._constants.BRANCH:
-            each = [needed(alternative) for alternative in arg[1]]
-            offer(set().union(*each) if all(each) else None)
-        elif op is re._constants.MAX_REPEAT and arg[0] >= 1:
-            offer(needed(arg[2]))
-    return best
+def literal_of(pattern: str) -> str | None:
+    """A run of three letters or more that any match of the pattern holds: the longest outside of groups and choices; None if there is none."""
+    while re.search(r"\([^()]*\)", pattern):
+        pattern = re.sub(r"(?<!\\)\((?:[^()\\]|\\.)*\)[?*]?", "\x00", pattern) if re.search(r"(?<!\\)\((?:[^()\\]|\\.)*\)", pattern) else "\x00"
+    if "|" in pattern:
+        return None
+    plain = re.sub(r"\[[^\]]*\]|\\.", "\x00", _OPTIONAL.sub("\x00", pattern))
+    return max((r for r in _RUN.findall(plain) if len(r) >= 3), key=len, default=None)
 
 
 class Detectors:
@@ -110,10 +102,10 @@ class Detectors:
         keys: dict[str, list[tuple[str, int]]] = {}
         for g, ps in groups.items():
             for i, p in enumerate(ps):
-                found = needed(re._parser.parse(p, re.I))
-                for literal in found or ():
-                    keys.setdefault(literal, []).append((g, i))
-                if not found:
+                literal = literal_of(p)
+                if literal:
+                    keys.setdefault(literal.casefold(), []).append((g, i))
+                else:
                     self.always[g].append(i)
         self.words = ahocorasick.Automaton()
         for literal, at in keys.items():
@@ -121,7 +113,7 @@ class Detectors:
         self.words.make_automaton()
 
     def awake(self, text: str) -> dict[str, list[re.Pattern]]:
-        """``text`` is in lower case."""
+        """``text`` is case-folded."""
         on = {g: set(i) for g, i in self.always.items()}
         for _, at in self.words.iter(text):
             for g, i in at:
@@ -145,15 +137,22 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAGS = re.compile(r"</?\w+[^>]*>")
 _LINK = re.compile(r"https?://\S+")
 _SLUG = re.compile(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])")
-_OPENS = re.compile(r"\{\{|\$\{|#\{|\[\[|<%|\{%|<<|@@|\*\||%\(|\[(?:insert|enter|add|your|votre|ins[ée]r|à compl|a compl|to be|tbd|todo)", re.I)
-_MAYBE = re.compile(r"[{<%\[]|__")
+_OPENS = ("{{", "${", "#{", "[[", "<%", "{%", "<<", "@@", "*|", "%(", "[")
+_MAYBE = ("{", "<", "%", "[", "__")
+_BLANKS = ("[object Object]", "undefined", "null", "NaN", "None", "nil", "N/A", "#REF!")
 _LATIN = ("lorem", "ipsum", "adipiscing", "consectetur", "eiusmod", "ullamco", "reprehenderit", "exercitation", "aliqua")
 _MASK = re.compile(r"\w*\d\w*|[@#]\w+|https?://\S+")
 
-#: Words that no detector explains, from which on a text is content; below twice as many it has little information.
+#: Words that no detector explains, from which on a text is content; up to twice as many a page may hold beside its sentences.
 CONTENT_WORDS = 10
+#: A text of fewer words has little information.
+LITTLE = 40
 #: Evidence from which on a document is a response page.
 ENOUGH = 3
+#: Different texts of little information and hosts that a response's sentence comes from at least, and from which on it speaks for itself.
+AGAIN, AGAIN_HOSTS, OFTEN, OFTEN_HOSTS = 3, 2, 6, 3
+#: Of its texts, the share at most that may have much information.
+IN_CONTENT = 0.2
 
 
 def _carrier(text: str, at: int) -> str:
@@ -168,55 +167,53 @@ def examine(text: str) -> dict:
     strong: set[str] = set()
     weak: list[tuple[str, str]] = []
     carriers: set[str] = set()
-    if _OPENS.search(text):
+    if any(o in text for o in _OPENS):
         for rx in _STRONG:
             for m in rx.finditer(text):
                 strong.add(m.group("n").lower())
                 if (c := _carrier(text, m.start())) and c[-1:] not in ".!?":
                     carriers.add(c)
-    if _MAYBE.search(text):
+    if any(o in text for o in _MAYBE):
         for rx in _WEAK:
             for m in rx.finditer(text):
                 n = m.group("n").lower()
                 if n not in _HTML and not (n in strong):
                     weak.append((n, _carrier(text, m.start())))
     empty = []
-    for m in _EMPTY.finditer(text):
-        rest = text[m.end() : m.end() + 2]
-        if rest[:1] in ("", ",", ".", "!", "\n", ";", ":") :
-            empty.append(_carrier(text, m.start()))
-    page = fill = furniture = body = lorem = words = 0
+    if any(w in text for w in _BLANKS):
+        for m in _EMPTY.finditer(text):
+            if text[m.end() : m.end() + 1] in ("", ",", ".", "!", "\n", ";", ":"):
+                empty.append(_carrier(text, m.start()))
+    plain = _TAGS.sub(". ", text) if "<" in text else text
+    folded = text.casefold()
+    lorem = words = 0
+    if any(w in folded for w in _LATIN):  # filler copy is counted over the whole text, word by word
+        every = [w.lower() for w in _WORD.findall(plain)]
+        words, lorem = len(every), sum(w in LOREM for w in every)
+    parts = [p for p in (s.strip() for s in _SENT.split(plain)) if p]
+    little = len(plain.split(None, LITTLE)) < LITTLE
+    # a sentence of so many words stands in no text of little information
+    prints = [_print(p) for p in (parts if little else (p for p in parts if p.count(" ") < LITTLE))]
+    sizes = [len(p.split()) for p in parts] if little else []
+    page = fill = furniture = body = 0
     body_terms: set[str] = set()
     title: set[str] | None = None
-    plain = _TAGS.sub(". ", text) if "<" in text else text
-    low_text = text.lower()
-    latin_copy = any(w in low_text for w in _LATIN)
-    on = detectors().awake(low_text)
-    at = 0
-    while at < len(plain):
-        cut = _SENT.search(plain, at)
-        s, at = plain[at : cut.start() if cut else len(plain)].strip(), cut.end() if cut else len(plain)
-        if not s:
-            continue
+    on = None
+    for i, s in enumerate(parts):
         if body >= 2 * CONTENT_WORDS:
-            # content by any rule: of the rest only the amount of filler copy counts
-            if latin_copy:
-                rest = [w.lower() for w in _WORD.findall(plain, at)] + [w.lower() for w in _WORD.findall(s)]
-                words += len(rest)
-                lorem += sum(w in LOREM for w in rest)
-            break
+            break  # ``body`` only grows, and from here on no count below decides about anything
         ws = _WORD.findall(_LINK.sub(" ", s) if "://" in s else s)
         ws = [w for w in ws if not re.search(rf"[@#]{re.escape(w)}", s)] if "@" in s or "#" in s else ws
         low = [w.lower() for w in ws]
         heading = title is None
         if heading:  # a title stands on a line of its own, or in the first tags
-            own_line = cut and "\n" in cut.group() or plain is not text and text.lstrip().startswith("<")
+            own_line = "\n" in plain[plain.find(s) + len(s) :][:2] or plain is not text and text.lstrip().startswith("<")
             title = {w for w in low if len(w) > 3} if own_line else set()
-        words += len(ws)
-        latin = sum(w in LOREM for w in low)
-        if len(ws) >= 3 and latin >= 0.7 * len(ws):
-            lorem += len(ws)
-        elif len(ws) < 12 and _any(on["furniture"], s):
+        if on is None:
+            on = detectors().awake(folded)
+        if len(ws) >= 3 and sum(w in LOREM for w in low) >= 0.7 * len(ws):
+            continue
+        if len(ws) < 12 and _any(on["furniture"], s):
             furniture += 1
         elif len(ws) <= 14 and _any(on["fill"], s):
             fill += 1
@@ -224,29 +221,59 @@ def examine(text: str) -> dict:
             page += 1
         else:
             body += len(ws)
-            if not (heading and title):
-                body_terms.update(w for w in low if len(w) > 3)
-    slugs = [_SLUG.findall(u.lower().partition("//")[2].partition("/")[2]) for u in _LINK.findall(text)]
+        if not (heading and title):
+            body_terms.update(w for w in low if len(w) > 3)
+    slugs = [_SLUG.findall(u.lower().partition("//")[2].partition("/")[2]) for u in _LINK.findall(text)] if "://" in text else []
     told = (title or set()).union(*(s for s in slugs if len(s) > 1))  # a single run of letters may be a short link
     return {
         "strong": sorted(strong), "weak": [{"name": n, "carrier": c} for n, c in weak], "carriers": sorted(carriers), "empty": empty,
         "page": page, "filler": fill, "furniture": furniture, "body_words": body, "lorem_words": lorem, "words": words,
-        "told": len(told) if body_terms else 0, "taken_up": len(told & body_terms), "mask": _MASK.sub("0", text) if body < 40 else None,
+        "told": len(told) if body_terms else 0, "taken_up": len(told & body_terms), "little": little, "prints": prints, "sizes": sizes, "whole": xxhash.xxh64_intdigest(text) - 2**63,
     }
 
 
-FINDINGS = "strong array<string>, weak array<struct<name:string,carrier:string>>, carriers array<string>, empty array<string>, page int, filler int, furniture int, body_words int, lorem_words int, words int, told int, taken_up int, mask string"
+_REFERENCE = re.compile(r"[\d@#]|://")
+
+
+def _print(sentence: str) -> int:
+    """The fingerprint of a sentence, with changing references masked."""
+    if _REFERENCE.search(sentence):
+        sentence = _MASK.sub("0", sentence)
+    return xxhash.xxh64_intdigest(sentence) - 2**63
+
+
+FINDINGS = "strong array<string>, weak array<struct<name:string,carrier:string>>, carriers array<string>, empty array<string>, page int, filler int, furniture int, body_words int, lorem_words int, words int, told int, taken_up int, little boolean, prints array<bigint>, sizes array<int>, whole bigint"
 
 
 def _arrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct(
-        [("strong", pa.list_(pa.string())), ("weak", pa.list_(pa.struct([("name", pa.string()), ("carrier", pa.string())]))), ("carriers", pa.list_(pa.string())), ("empty", pa.list_(pa.string())), *((n, pa.int32()) for n in ("page", "filler", "furniture", "body_words", "lorem_words", "words", "told", "taken_up")), ("mask", pa.string())]
+        [("strong", pa.list_(pa.string())), ("weak", pa.list_(pa.struct([("name", pa.string()), ("carrier", pa.string())]))), ("carriers", pa.list_(pa.string())), ("empty", pa.list_(pa.string())), *((n, pa.int32()) for n in ("page", "filler", "furniture", "body_words", "lorem_words", "words", "told", "taken_up")), ("little", pa.bool_()), ("prints", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("whole", pa.int64())]
     )
     for b in it:
         found = pa.array([examine(t) for t in b["text"].to_pylist()], kind)
         yield pa.RecordBatch.from_arrays([b["key"], b["host"], *found.flatten()], names=["key", "host", *[f.name for f in kind]])
 
 
+def response_wording(f: DataFrame) -> DataFrame:
+    """(whole, again, often): of texts of little information the share of words in sentences of responses.
+
+    Sentences are counted by different texts and hosts among texts of little information; only those that come
+    again are looked up in the rest. Everything is counted over all rows; what is broadcast is size-checked.
+    """
+    low = f.where("little").select("host", "whole", F.explode("prints").alias("print"))
+    seen = low.groupBy("print").agg(F.countDistinct("whole").alias("texts"), F.countDistinct("host").alias("hosts")).where((F.col("texts") >= AGAIN) & (F.col("hosts") >= AGAIN_HOSTS))
+    seen = cut_lineage(seen)
+    rest = f.where("NOT little").select(F.explode(F.array_distinct("prints")).alias("print"))
+    content = rest.join(broadcast_if_small(seen.select("print"), 1_000_000), "print", "left_semi").groupBy("print").agg(F.count(F.lit(1)).alias("content"))
+    said = seen.join(content, "print", "left").where(F.coalesce("content", F.lit(0)) <= IN_CONTENT * F.col("texts"))
+    said = said.select("print", ((F.col("texts") >= OFTEN) & (F.col("hosts") >= OFTEN_HOSTS)).alias("often"))
+    texts = f.where("little").groupBy("whole").agg(F.first("prints").alias("prints"), F.first("sizes").alias("sizes"))
+    each = texts.select("whole", F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("total"), F.explode(F.arrays_zip(F.col("prints").alias("print"), F.col("sizes").alias("size"))).alias("p")).select("whole", "total", "p.print", "p.size")
+    met = each.join(said, "print")
+    share = lambda c: F.try_divide(F.sum(c), F.first("total"))
+    return met.groupBy("whole").agg(share(F.col("size")).alias("again"), share(F.when(F.col("often"), F.col("size")).otherwise(0)).alias("often"))
+
+
 def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """(key, reason): documents marked, with why: slot, empty value, filler, error page or script notice.
 
@@ -254,12 +281,10 @@ def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFra
     key are judged each for itself and the key comes out once, with its first reason by name. A null host
     counts as one host.
     """
-    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    src = spread(docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL"))
     kt = docs.schema[key].dataType.simpleString()
     f = src.mapInArrow(_arrow, f"key {kt}, host string, {FINDINGS}")
-    f = f.withColumn("print", F.xxhash64("mask")).withColumn("print", F.when(F.col("mask").isNotNull() & (F.col("words") >= 3), F.col("print"))).drop("mask")
-    # rows with some finding go on, and all with little information; long ordinary texts end here
-    f = cut_lineage(f.where(f"body_words < {2 * CONTENT_WORDS} OR size(strong) > 0 OR size(weak) > 0 OR size(empty) > 0 OR page > 0 OR filler > 0 OR furniture > 0 OR lorem_words > 0"))
+    f = cut_lineage(f)  # findings and fingerprints only; the texts are read once
 
     slots = f.where("size(strong) > 0").select("key", F.lit("slot").alias("reason"))
     names = f.select(F.explode("strong").alias("name")).distinct()
@@ -269,22 +294,22 @@ def residue_evidence(docs: DataFrame, key: str, text: str, host: str) -> DataFra
     greeted = F.col("carrier").isin(*SALUTATIONS) | F.col("carrier").rlike(greeting + "$")
     # what a weak slot shows by itself: a name of several parts or a greeting before it; else names and phrases learned
     dotted = F.col("name").rlike(_DOTTED) & ~F.col("name").rlike(_SITES)
-    known = broadcast_if_small(names, 100_000), broadcast_if_small(carriers, 100_000)
+    known = names, carriers  # slots are rare: where the learned ones are few, AQE broadcasts them
     told = weak.where(F.col("name").contains("_") | dotted | F.col("carrier").rlike(greeting + ",?$")).select("key")
     told = told.unionByName(weak.join(known[0], "name", "left_semi").select("key")).unionByName(weak.join(known[1], "carrier", "left_semi").select("key"))
     blank = f.select("key", F.explode("empty").alias("carrier"))
     hollow = blank.where(greeted).select("key").unionByName(blank.join(known[1], "carrier", "left_semi").select("key"))
 
-    again = f.where("print IS NOT NULL").groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("host").alias("hosts"))
     low = F.col("body_words") < CONTENT_WORDS
     filler = (F.col("lorem_words") >= 0.3 * F.col("words")) & (F.col("lorem_words") >= 3) | (F.col("filler") > 0) & low
     page = (F.col("page") > 0) & low
-    # one score of all evidence: cues, furniture, wording that comes again and from where, title and slugs against the body
-    cue = F.when(page, 2 + ENOUGH).when((F.col("page") > 0) | (F.col("filler") > 0), 1).otherwise(0)
+    # one score of all evidence: wording that comes again in little texts of several hosts, title and slugs against the body, furniture, cues
     mismatch = F.when(F.col("taken_up") >= 2, -2).when((F.col("told") > 0) & (F.col("taken_up") <= F.when(F.col("told") >= 4, 1).otherwise(0)), 1).otherwise(0)
-    score = cue + F.when(F.col("furniture") > 0, 2).otherwise(0) + mismatch + (F.coalesce("copies", F.lit(0)) >= 3).cast("int") + (F.coalesce("hosts", F.lit(0)) >= 2).cast("int")
-    again_at_all = F.coalesce((F.col("hosts") >= 2) | (F.col("copies") >= 3), F.lit(False))
-    response = (score >= ENOUGH) & (page | again_at_all & (F.col("body_words") > 0) & (F.col("body_words") < 2 * CONTENT_WORDS))
-    judged = f.join(again, "print", "left").select("key", F.when(filler, "filler").when(response & page, "page").when(response, "repeated page").alias("reason"))
+    rest = F.least(F.col("furniture"), F.lit(1)) + mismatch
+    wording = F.when(F.coalesce("often", F.lit(0.0)) >= 0.9, ENOUGH).when(F.coalesce("again", F.lit(0.0)) >= 0.9, ENOUGH - 1).otherwise(0)
+    cue = F.when(page, 2 + ENOUGH).when((F.col("page") > 0) | (F.col("filler") > 0), 1).otherwise(0)
+    again = response_wording(f)
+    candidates = f.where("little OR page > 0 OR filler > 0 OR lorem_words > 0")
+    judged = candidates.join(again, "whole", "left").select("key", F.when(filler, "filler").when((wording > 0) & (wording + rest >= ENOUGH), "repeated page").when((cue + wording + rest >= ENOUGH) & (page | (wording > 0)), "page").alias("reason"))
     parts = slots.unionByName(told.select("key", F.lit("slot").alias("reason"))).unionByName(hollow.select("key", F.lit("empty value").alias("reason")))
     return parts.unionByName(judged.where("reason IS NOT NULL")).groupBy("key").agg(F.min("reason").alias("reason")).withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ Forms:
 
 Case, digits, visible accents and marks are kept apart. A joiner between two symbols (emoji) is kept, as it
 changes the picture; everywhere else it is invisible and dropped. Null stays null, empty stays empty.
-Precomposed Hangul is left as it is.
+Conjoining Hangul letters become syllables.
 """
 
 from __future__ import annotations
@@ -198,6 +198,27 @@ def _compose(codes: np.ndarray, src: np.ndarray, row: np.ndarray, t: Tables) ->
     return codes[live], src[live], row[live]
 
 
+def _compose_hangul(codes: np.ndarray, src: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Conjoining letters of one row to syllables: leading and vowel, then a syllable without a tail and a tail."""
+    if not ((codes >= 0x1100) & (codes < 0x1200)).any():
+        return codes, src, row
+    for lead in (True, False):
+        a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
+        if lead:
+            hit = (a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175)
+            whole = 0xAC00 + ((a - 0x1100) * 21 + (b - 0x1161)) * 28
+        else:
+            hit = (a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b <= 0x11C2)
+            whole = a + (b - 0x11A7)
+        hit = np.flatnonzero(hit & (row[1:] == row[:-1]))
+        codes = codes.copy()
+        codes[hit] = whole[hit]
+        live = np.ones(len(codes), bool)
+        live[hit + 1] = False
+        codes, src, row = codes[live], src[live], row[live]
+    return codes, src, row
+
+
 def _fold_words(codes: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     """Look-alikes to the script of most letters of their word that only one script has; ties go to Latin."""
     c = np.minimum(codes, TOP - 1)
@@ -233,7 +254,7 @@ def normalise(codes: np.ndarray, offs: np.ndarray, form: str = "readable") -> tu
         out = np.where(low, t.latin[np.minimum(out, TOP - 1)], out).astype(np.uint32)
     elif form != "readable":
         raise ValueError(f"unknown form {form!r}")
-    out, src, row = _compose(out, src, row, t)
+    out, src, row = _compose(*_compose_hangul(out, src, row), t)
     if form == "readable" and len(out):
         out = _fold_words(out, row, t)
     n = len(offs) - 1
@@ -254,11 +275,44 @@ def slices(arr: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
         a = b
 
 
+@functools.lru_cache(2)
+def settled(form: str) -> np.ndarray:
+    """Of each code point whether it stays what it is in any text whose other code points do too."""
+    t = tables()
+    code = np.arange(TOP)
+    d = [_first_and_more(t, i) for i in (0, 1)]
+    same = (t.count == 1) & (d[0] == code)
+    # a letter with its accents in one: it falls apart and comes together again
+    at = np.minimum(np.searchsorted(t.pair, d[0].astype(np.int64) << 21 | d[1]), len(t.pair) - 1)
+    same |= (t.count == 2) & (t.pair[at] == (d[0].astype(np.int64) << 21 | d[1])) & (t.whole[at] == code)
+    first = np.minimum(d[0], TOP - 1)
+    ok = same & (t.ccc == 0) & (t.latin[first] == first) & (code != ZWJ) & ~((code >= 0x1100) & (code < 0x1200))
+    return ok & (t.script <= 1) if form == "readable" else ok
+
+
+def _first_and_more(t: Tables, i: int) -> np.ndarray:
+    return t.flat[np.minimum(t.start + np.minimum(i, np.maximum(t.count.astype(np.int64) - 1, 0)), len(t.flat) - 1)].astype(np.int64)
+
+
+def changed_rows(codes: np.ndarray, offs: np.ndarray, form: str) -> np.ndarray:
+    """Which rows hold a code point that may not stay what it is; the form of all others is what they are."""
+    loose = ~settled(form)[np.minimum(codes, TOP - 1)] & (codes < TOP) | (codes >= 0xE0000) & (codes <= 0xE0FFF)
+    total = np.concatenate([[0], np.cumsum(loose)])
+    return total[offs[1:]] > total[offs[:-1]]
+
+
 def normalise_array(arr: pa.Array, form: str = "readable") -> pa.Array:
     out = []
     for part in slices(arr):
-        codes, new, _ = normalise(*codes_of(part), form)
-        out.append(text_of(codes, new, part.is_null().to_numpy(zero_copy_only=False)))
+        codes, offs = codes_of(part)
+        loose = changed_rows(codes, offs, form)
+        if not loose.any():
+            out.append(part.cast(pa.string()))
+            continue
+        some = part.filter(pa.array(loose))
+        codes, new, _ = normalise(*codes_of(some), form)
+        done = text_of(codes, new, some.is_null().to_numpy(zero_copy_only=False))
+        out.append(done if loose.all() else pc.replace_with_mask(part.cast(pa.string()), pa.array(loose), done))
     return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 

@@ -64,3 +64,21 @@ def test_edges(spark):
 @pytest.mark.parametrize("text", ["{{", "}}{{}}", "<%", "%%", "__", "\x00", "a" * 100_000, "{" * 5000])
 def test_odd_texts(text):
     assert examine(text)["words"] >= 0
+
+
+def test_responses_by_their_wording_alone(spark):
+    """Sentences of no list, in different short texts of three hosts, are a response's; not where content has them too, nor copies of one text."""
+    a, b, c = "The hamster naps until spring.", "Our kettle went to the moon.", "A copied remark about nothing."
+    rows = [(i, f"{a}\nShelf {i} {'odd' if i % 2 else 'even'}.", f"h{i % 3}") for i in range(12)]
+    rows += [(20 + i, f"{b}\nSpoon {'ABCDEFGHIJKL'[i]}.", f"h{i % 3}") for i in range(12)] + [(40 + i, f"{b} {CONTENT} {CONTENT}", "h0") for i in range(6)]
+    rows += [(60 + i, c, f"h{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, t string, host string")
+    got = {r.k: r.reason for r in residue_evidence(df, "k", "t", "host").collect()}
+    assert got == dict.fromkeys(range(12), "repeated page")
+
+
+def test_the_whole_text_is_read(spark):
+    far = (CONTENT + " ") * 200
+    rows = [(1, far + "Dear {{ name }}, hello."), (2, far + "lorem ipsum dolor sit amet consectetur " * 400), (3, far + "Page not found."), (4, "Page not found. " * 200)]
+    got = {r.k: r.reason for r in residue_evidence(spark.createDataFrame(rows, "k long, t string").selectExpr("*", "'h' AS host"), "k", "t", "host").collect()}
+    assert got == {1: "slot", 2: "filler", 4: "page"}
