@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumage.operators import dewey
-from plumage.operators.dedup import SeenRanges, mark_redeliveries
+from plumage.operators.dedup import OpenRange, SeenRanges, mark_redeliveries, producer_of, sequence_of
 from plumage.operators.spatial import cover_region, near_pairs, points_in_regions
 
 # ---- nested records --------------------------------------------------------------------------------
@@ -120,11 +120,42 @@ def test_cover_marks_inner_ranges():
 
 
 def test_seen_ranges():
-    s = SeenRanges(8)
+    s = SeenRanges()
     assert s.accept(np.array([3, 1, 2, 2, 250, 255, 256, 257])).tolist() == [True, True, True, False, True, True, True, True]
-    assert list(zip(s.lo, s.hi)) == [(1, 3), (250, 250), (255, 255), (256, 257)]  # 255 and 256 are of two producers
+    assert list(zip(s.lo, s.hi)) == [(1, 3), (250, 250), (255, 257)]
     assert s.accept(np.array([0, 4, 2, 251, 256])).tolist() == [True, True, False, True, False]
-    assert list(zip(s.lo, s.hi)) == [(0, 4), (250, 251), (255, 255), (256, 257)]
+    assert list(zip(s.lo, s.hi)) == [(0, 4), (250, 251), (255, 257)]
+
+
+def test_open_range_is_the_only_state():
+    """Rising numbers, in whatever batches, are judged like by the whole set of ranges; the state stays one range."""
+    rng = np.random.default_rng(1)
+    producer, seq = rng.integers(0, 5, 4000), rng.integers(-300, 300, 4000)
+    order = np.lexsort((seq, producer))
+    producer, seq = producer[order], seq[order]
+    for cuts in ([], [1, 2, 3, 1999], sorted(rng.integers(0, 4000, 60))):
+        r = OpenRange()
+        got = np.concatenate([r.accept(p, s) for p, s in zip(np.split(producer, cuts), np.split(seq, cuts))])
+        sets = {p: SeenRanges() for p in range(5)}
+        want = np.zeros(4000, bool)
+        for p in range(5):
+            want[producer == p] = sets[p].accept(seq[producer == p])
+        assert (got == want).all() and r.closed + 1 == sum(len(s.lo) for s in sets.values()) and (r.lo, r.hi) == (sets[4].lo[-1], sets[4].hi[-1])
+
+
+def test_ten_million_sparse_numbers_of_one_task():
+    r, took = OpenRange(), 0
+    for k in range(1000):
+        took += int(r.accept(np.zeros(10_000, np.int32), (np.arange(10_000, dtype=np.int64) + k * 10_000) * 7).sum())
+    assert took == 10_000_000 and r.closed == took - 1
+
+
+def test_numbers_fall_into_worker_and_sequence(spark):
+    ns = [0, 1, -1, 2**63 - 1, -(2**63), 1_300_000_000_123_456_789, 5 << 12, 7 << 22 | 5 << 12 | 9]
+    df = spark.createDataFrame([(n,) for n in ns], "n long").select("n", producer_of(F.col("n")).alias("p"), sequence_of(F.col("n")).alias("s"))
+    got = {r.n: (r.p, r.s) for r in df.collect()}
+    assert got[5 << 12] == (5, 0) and got[7 << 22 | 5 << 12 | 9] == (5, 7 << 12 | 9) and len(set(got.values())) == len(ns)
+    assert all((s >> 12) << 22 | p << 12 | s & 4095 == n for n, (p, s) in got.items())
 
 
 def test_redeliveries_against_brute_force(spark):
