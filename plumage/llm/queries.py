@@ -6,11 +6,12 @@ import functools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumage.llm.langid import fit_once, label_of, text_language, training_sample, with_segments
 from plumage.llm.linkage import link
-from plumage.llm.mixing import mix, shares
+from plumage.llm.mixing import deviations, mix, shares
 from plumage.llm.packing import pack
 from plumage.llm.pii import redact
 from plumage.llm.residue import residue_evidence
@@ -133,6 +134,19 @@ def p9_shares(read):
     return functools.reduce(DataFrame.unionByName, out)
 
 
+@reg.query(
+    "p9_deviation",
+    f"""SELECT DISTINCT t.mix_name, t.source, true AS cap_kept, true AS within_block, true AS share_within_block FROM mix_targets t
+        WHERE t.target_share > 0 AND t.max_repeats > 0 AND t.source IN (SELECT source FROM documents WHERE {_TOKENS} > 0)""",
+)
+def p9_deviation(read):
+    """Of every mix and source: no document over its cap, never a block from the share at any point, nor at the end."""
+    docs = sized_documents(read)
+    one = lambda m, t: deviations(docs, "doc_id", "source", "n_tokens", t).withColumn("mix_name", F.lit(m)).withColumn("_all", F.sum("tokens").over(W.partitionBy("mix_name")))
+    out = functools.reduce(DataFrame.unionByName, [one(m, t) for m, t in sorted(_mixes(read).items())])  # one row a source
+    return out.select("mix_name", "source", "cap_kept", "within_block", (F.abs(F.col("tokens") - F.col("target") * F.col("_all")) < F.col("block")).alias("share_within_block"))
+
+
 def _user_texts(read, field: str) -> DataFrame:
     """(user_id, text), distinct: a busy user's repeats are merged before the shuffle."""
     t = read("tweets").select(F.col("tweet_json.user.id").alias("user_id"), F.col(f"tweet_json.user.{field}").alias("text"))

@@ -109,7 +109,7 @@ def test_mix(spark):
     rows = [(i, s, rng.randrange(1, 60)) for i, s in enumerate(["big"] * 1500 + ["mid"] * 300 + ["small"] * 60 + ["other"] * 50)] + [(9000, None, 5), (9001, "big", None), (9002, "big", 0)]
     df = spark.createDataFrame(rows, "k long, source string, n int").withColumn("slot", F.lit("clash"))
     targets = [("big", 0.6, 1), ("mid", 0.2, 2), ("small", 0.1, 4), ("missing", 0.1, 5)]
-    m = X.mix(df, "k", "source", "n", targets, block=200).collect()
+    m = X.mix(df, "k", "source", "n", targets, slot=50).collect()
     size = {k: n for k, _, n in rows}
     total = sum(r["size"] for r in m)
     uses = {}
@@ -120,15 +120,34 @@ def test_mix(spark):
         assert abs(sum(r["size"] for r in own) / total - w / 0.9) < 0.02
         assert max(uses[r.key] for r in own) <= cap and max(uses[r.key] for r in own) - min(uses.get(k, 0) for k, src, n in rows if src == s and n) <= 1
     assert all(r["size"] == size[r.key] for r in m) and {r.source for r in m} == {"big", "mid", "small"}
-    # read by slot, any source has had its share to a block and a document
+    # read by slot, any source has had its share to less than a block, at every document
+    weights = {s: w / 0.9 for s, w, _ in targets[:3]}
+    block = X.block_size(weights, max(r["size"] for r in m), 50)
+    assert block < 50 + 60
+    worst = dict.fromkeys(weights, 0.0)
     order = sorted(m, key=lambda r: (r.slot, r.position))
     seen, all_ = {}, 0
     for r in order:
         all_ += r["size"]
         seen[r.source] = seen.get(r.source, 0) + r["size"]
-        for s, w, _ in targets[:3]:
-            assert abs(seen.get(s, 0) - all_ * w / 0.9) < 3 * 200 + 60
+        for s, w in weights.items():
+            worst[s] = max(worst[s], abs(seen.get(s, 0) - all_ * w))
+    assert max(worst.values()) < block
+    said = {r.source: r for r in X.deviations(df, "k", "source", "n", targets, slot=50).collect()}
+    assert all(r.cap_kept and r.within_block and r.block == block and r.worst == pytest.approx(worst[s]) for s, r in said.items()) and set(said) == set(weights)
     t = spark.createDataFrame([(s, w) for s, w, _ in targets], "source string, target_share double")
     rep = {r.source: r for r in X.shares(X.mix(df, "k", "source", "n", targets), t).collect()}
     assert rep["missing"].tokens == 0 and rep["missing"].actual_share == 0 and sum(r.actual_share for r in rep.values()) == pytest.approx(1)
     assert X.mix(df.limit(0), "k", "source", "n", targets).count() == 0 and X.mix(df, "k", "source", "n", []).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_documents_longer_than_slots(spark, seed):
+    """Long documents, uneven weights and one source that has a third of all: still within one block."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("aaabcd"), rng.choice([1, 20, 400, rng.randrange(1, 3000)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, source string, n int")
+    targets = [("a", 0.55, 1), ("b", 0.25, 3), ("c", 0.15, 5), ("d", 0.05, 2)]
+    got = X.deviations(df, "k", "source", "n", targets, slot=128).collect()
+    assert len(got) == 4 and all(r.within_block and r.cap_kept and r.worst > 0 for r in got)
+    assert X.deviations(df.limit(0), "k", "source", "n", targets).count() == 0
