@@ -18,15 +18,30 @@ def test_similar_against_brute_force(spark):
     words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 11))) for _ in range(160)} | {"aaaa", "aaaaaa"})
     refs = words[::4]
     names = spark.createDataFrame([(i, r, r) for i, r in enumerate(refs)], "ref_id int, ref string, ref_words string")
-    for t in (0.34, 0.6, 1.0):
-        got = {(r.string, r.ref): round(r.jaccard, 9) for r in K.similar(spark.createDataFrame([(w,) for w in words], "string string"), names, t).collect()}
-        want = {}
-        for w in words:
-            for r in refs:
-                a, b = set(K.pairs_of(w)), set(K.pairs_of(r))
-                if len(a & b) / len(a | b) >= t:
-                    want[(w, r)] = round(len(a & b) / len(a | b), 9)
-        assert got == want
+    got = {(r.string, r.ref): round(r.jaccard, 9) for r in K.similar(spark.createDataFrame([(w,) for w in words], "string string"), names).collect()}
+    want = {}
+    for w in words:
+        for r in refs:
+            a, b, e = set(K.pairs_of(w)), set(K.pairs_of(r)), K.allowed(len(r))
+            if abs(len(w) - len(r)) <= e and len(a & b) / len(a | b) >= K.kept_pairs(len(r)) / (len(r) + 1 + 3 * e):
+                want[(w, r)] = round(len(a & b) / len(a | b), 9)
+    assert got == want
+
+
+def test_no_allowed_error_is_cut(spark):
+    """Every string within the errors allowed of an entry is met, swaps that take three pairs each included."""
+    rng = random.Random(5)
+    refs = ["abcde", "fghij", "kestrel", "ospreyly", "wrenfield", "aaaaaaa", "flintminster", "portalderenbay", "heron", "lark"]
+
+    def slip(s):
+        i, kind = rng.randrange(len(s) - 1), rng.randrange(4)
+        return [s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + s[i + 1 :], s[:i] + rng.choice("xyz") + s[i:], s[:i] + rng.choice("xyz") + s[i + 1 :]][kind]
+
+    pairs = {(s, r) for r in refs for _ in range(150) for s in [slip(r) if K.allowed(len(r)) == 1 else slip(slip(r)) if K.allowed(len(r)) else r]}
+    pairs |= {("acbde", "abcde"), ("ksetrle", "kestrel"), ("rwenfiedl", "wrenfield")}
+    names = spark.createDataFrame([(i, r, r) for i, r in enumerate(refs)], "ref_id int, ref string, ref_words string")
+    got = {(r.string, r.ref) for r in K.similar(spark.createDataFrame([(w,) for w in sorted({w for w, _ in pairs})], "string string"), names).collect()}
+    assert {p for p in pairs if K.edits(*p, K.allowed(len(p[1]))) <= K.allowed(len(p[1]))} <= got
 
 
 def test_link(spark):
@@ -40,3 +55,5 @@ def test_link(spark):
     assert {r.k for r in K.link(df, "k", "t", entries, "id", "name", "alt", whole=False).collect()} >= {10, 11, 12, 13, 17}
     assert K.link(df.limit(0), "k", "t", entries, "id", "name", "alt", regions).count() == 0
     assert K.link(df, "k", "t", entries.limit(0), "id", "name", "alt", regions).where("ref_id != 0").count() == 0
+    nothing = {r.k: r.ref_id for r in K.link(df, "k", "t", entries.limit(0), "id", "name", "alt", regions).collect()}
+    assert nothing == dict.fromkeys([k for k in rows if k not in (15, 16, 18)], 0)
