@@ -2,10 +2,10 @@
 
 Method: anchor expansion. A text is brought to its comparison form (so full-width digits, look-alike letters
 and invisible characters hide nothing; positions are mapped back to the stored text). One Aho-Corasick pass
-finds the anchors: at-signs and their spelled forms, link schemes, identifier cues, street types, and the
-phrases that names stand in. At each anchor a deterministic local parser expands to the boundaries of the
-email, number, address or name, and validates it (domain labels, digit groups, check digits, postal code).
-Phone numbers need no cue: runs with enough digits are their own anchors.
+finds the anchors: at-signs and their spelled forms, link schemes, identifier cues, area codes, street and box
+words, titles, and what is said to, of or by somebody. At each anchor a deterministic local parser expands to the
+boundaries of the email, number, address or name, as far as its grammar goes (counted in words, never in
+characters), and validates it (domain labels, digit groups, check digits, postal code).
 
 Kinds: EMAIL, PHONE, ID (social insurance, health card, passport), ADDRESS, NAME. Handles, links, order,
 lot and tracking numbers, amounts and dates are none.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plumage.llm.textform import codes_of, normalise, slices, text_of
+from plumage.llm.textform import changed_rows, codes_of, normalise, slices, text_of
 
 KINDS = ("EMAIL", "ID", "PHONE", "ADDRESS", "NAME")
 
@@ -39,6 +39,8 @@ STREET_EN = ("street", "st", "avenue", "ave", "road", "rd", "drive", "dr", "lane
 STREET_FR = ("rue", "avenue", "chemin", "boulevard", "boul", "rang", "route", "allée", "allee", "montée", "montee", "côte", "cote", "ruelle", "av", "ch", "place")
 BOX_CUES = ("po box", "p.o. box", "p.o box", "p o box", "case postale", "c.p.", "boîte postale", "boite postale", "cp ", "post office box")
 NAME_BEFORE = ("signed", "signé", "signe :", "thx", "thanks to", "merci à", "merci a", "ask for", "demandez", "happy birthday", "bonne fête", "bonne fete", "joyeux anniversaire", "my manager", "my boss", "ma gérante", "mon gérant", "ma gerante", "mon gerant", "ma patronne", "mon patron", "my name is", "je m'appelle", "contact", "sincerely", "regards", "cordialement", "my doctor", "mon médecin", "my landlord")
+#: What somebody did: a name in capitals before it is one.
+NAME_DID = ("said", "told", "asked", "helped", "gave", "drove", "offered", "thanked", "brought", "called", "wrote", "replied", "laughed", "smiled", "was so", "was very", "m'a", "nous a", "lui a", "leur a", "a dit", "a demandé", "a répondu", "a offert", "a donné", "a aidé", "a été")
 NAME_AFTER = ("was so kind", "were so kind", "m'a raccompagn", "m'a ramen", "said no", "a dit non", "a été si gentil", "a ete si gentil", "was so nice", "gave me a ride", "drove me home")
 TITLES = ("dr.", "dr ", "dre", "mme", "mr.", "mr ", "mrs", "ms.", "ms ", "mlle", "me ", "prof.", "m. ")
 # Words that begin or stand in phrases about no named person.
@@ -61,19 +63,27 @@ _TITLED = re.compile(rf"{_TITLE}\s+(?P<t>{_TOKEN})", re.I)
 _LOCAL_END = re.compile(r"[a-z0-9](?:[\w.+\-]*[a-z0-9])?$", re.I)
 _DOMAIN = re.compile(r"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)*\.[a-z]{2,24}(?![a-z0-9@])", re.I)
 _SPELLED = re.compile(r"\s*([a-z0-9][a-z0-9\-]*)((?:\s*(?:\s(?:dot|point)\s|[\[({](?:dot|point)[\])}]|\.)\s*[a-z0-9][a-z0-9\-]*)+)", re.I)
-_PHONE = re.compile(r"(?<![\w$€£.,/#\-])(?:(?:\+|00)?1[\s.\-/]{0,3}|001[\s.\-/]{0,3})?(?:\(\s*([2-9]\d\d)\s*\)|([2-9]\d\d))\s?[\s.\-/]?\s?([2-9]\d\d)\s?[\s.\-/]?\s?(\d{4})(?:\s*(?:ext|poste|x)\.?\s*\d{1,6})?(?![\w])(?![.,\-/]\d)", re.I)
-_PHONE_LONG = re.compile(r"(?<![\w])(?:\+1|001|1)([2-9]\d\d)([2-9]\d\d)(\d{4})(?!\w)")
+#: From an area code on, and what may stand before one: a bracket, a country code, and no part of another number.
+_PHONE = re.compile(r"(?P<c>[2-9]\d\d)(?P<close>\s*\))?\s?[\s.\-/]?\s?([2-9]\d\d)\s?[\s.\-/]?\s?(\d{4})(?:\s*(?:ext|poste|x)\.?\s*\d{1,6})?(?![\w])(?![.,\-/]\d)", re.I)
+_PHONE_HEAD = re.compile(r"(?:(?<![\w$€£.,/#\-])(?:\+1|001|1)[\s.\-/]{0,3}|(?<![\w$€£.,/#\-]))(?P<open>\(\s*)?$")
+_PHONE_LONG = re.compile(r"(?<!\w)(?:\+1|001|1)$")
 _NINE = re.compile(r"(?<!\d)(?<!\d[\s\-])\d{3}[\s\-.]?\d{3}[\s\-.]?\d{3}(?![\s\-.]?\d)")
 _HEALTH = re.compile(r"(?<!\d)(?:\d{4}[\s\-.]?\d{3}[\s\-.]?\d{3}(?:-[a-z]{2}\b)?|[a-z]{4}\s?\d{4}\s?\d{4})(?!\d)", re.I)
 _PASS = re.compile(r"(?<!\w)[a-z]{2}\s?\d{6}(?!\w)", re.I)
 _POSTAL = r"(?:[,\s]+[a-z]\d[a-z]\s?-?\d[a-z]\d)?"
 _WORDS = rf"(?:{LETTER}[\w'’.\-]*\s+){{0,3}}?{LETTER}[\w'’\-]*"
 _EN_STREET = re.compile(rf"(?<![\w$.:,/\-])(?:(?:unit|apt\.?|suite|app\.?|#)\s*\d+[a-z]?\s*,?\s*)?(?:\d{{1,5}}\s?-\s?)?\d{{1,5}}[a-z]?,?\s+(?P<w>{_WORDS})\s+(?P<s>{'|'.join(STREET_EN)})\b\.?(?:\s+(?:nw|ne|sw|se|n|s|e|w)\b\.?)?{_POSTAL}", re.I)
-_FR_STREET = re.compile(rf"(?<![\w$.:,/\-])(?:\d{{1,5}}\s?-\s?)?\d{{1,5}}[a-z]?,?\s+(?:{'|'.join(STREET_FR)})\b\.?\s+(?:(?:de|du|des|la|le|les|l|d)\b['’]?\s*){{0,3}}{LETTER}[\w'’\-]*(?:,?\s+(?:app\.?|bureau)\s*\d+)?{_POSTAL}", re.I)
+_FR_STREET = re.compile(rf"(?<![\w$.:,/\-])(?:\d{{1,5}}\s?-\s?)?\d{{1,5}}[a-z]?,?\s+(?P<s>{'|'.join(STREET_FR)})\b\.?\s+(?:(?:de|du|des|la|le|les|l|d)\b['’]?\s*){{0,3}}{LETTER}[\w'’\-]*(?:,?\s+(?:app\.?|bureau)\s*\d+)?{_POSTAL}", re.I)
 _BOX = re.compile(rf"(?:p\.?\s?o\.?\s?box|post office box|case postale|c\.?\s?p\.?|bo[iî]te postale)\s*#?\s*\d{{1,6}}(?:\s*,?\s*(?:stn|station|succ|succursale|rr)\.?\s*\w+)?{_POSTAL}", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 # What stands before numbers that identify things, not persons.
 _THING = re.compile(r"(?:order|commande|tracking|suivi|colis|lot|model|modèle|item|invoice|facture|ref|référence|ticket|serial|no\.?|n[o°]\.?|#)\s*(?:no\.?|number|num[ée]ro|n°|#|:)?\s*$", re.I)
+#: Tokens that a grammar reaches back from its anchor: a unit, numbers and words of a street; a number; a name.
+STREET_BACK, NUMBER_BACK, NAME_BACK, THING_BACK = 9, 5, 6, 4
+_LEAD = r"[\s:#.\-–=()]*(?:(?:number|num[ée]ro|no|n°|card|is|est|le|the|de|my|mon|ma)[\s:#.\-–]*){0,3}"
+_TAIL = r"\s*[\s(\[\-–,]*(?:(?:my|mon|ma|is my|est mon|the|le)\s+)?"
+_AFTER_CUE = {k: re.compile(_LEAD + f"(?P<v>{rx.pattern})", re.I) for k, rx in (("sin", _NINE), ("health", _HEALTH), ("passport", _PASS))}
+_BEFORE_CUE = {k: re.compile(f"(?P<v>{rx.pattern}){_TAIL}$", re.I) for k, rx in (("sin", _NINE), ("health", _HEALTH), ("passport", _PASS))}
 _CAPITAL_ONLY = frozenset(("way", "place", "court", "trail", "circle", "dr", "st"))
 
 
@@ -88,7 +98,8 @@ def luhn(digits: str) -> bool:
 @functools.lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    groups = [("at", AT_CUES), ("link", SCHEMES), *((f"id:{k}", v) for k, v in ID_CUES.items()), ("box", BOX_CUES), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("title", TITLES), ("street", sorted({*STREET_EN, *STREET_FR}))]
+    codes = [f"{n}" for n in range(200, 1000)]  # area codes
+    groups = [("area", codes), ("at", AT_CUES), ("link", SCHEMES), *((f"id:{k}", v) for k, v in ID_CUES.items()), ("box", BOX_CUES), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("did", NAME_DID), ("title", TITLES), ("street", sorted({*STREET_EN, *STREET_FR}))]
     merged: dict[str, list[str]] = {}
     for kind, words in groups:
         for w in words:
@@ -99,6 +110,34 @@ def anchors() -> ahocorasick.Automaton:
     return a
 
 
+def back(t: str, a: int, tokens: int) -> int:
+    """Where the last ``tokens`` tokens before ``a`` begin, however long they are."""
+    at = a
+    for _ in range(tokens):
+        while at > 0 and t[at - 1].isspace():
+            at -= 1
+        while at > 0 and not t[at - 1].isspace():
+            at -= 1
+        if at == 0:
+            break
+    return at
+
+
+def _phone(t: str, a: int) -> tuple[int, int] | None:
+    """A number whose area code stands at ``a``."""
+    m = _PHONE.match(t, a)
+    if not m:
+        return None
+    lo = back(t, a, 2)
+    head = _PHONE_HEAD.search(t[lo:a])
+    if head and bool(head.group("open")) == bool(m.group("close")):
+        # the sign before a head that the cut begins with
+        start = lo + head.start()
+        if not (start == lo and lo > 0 and re.match(r"[\w$€£.,/#\-]", t[lo - 1])):
+            return start, m.end()
+    return None
+
+
 def _edge(t: str, a: int, b: int) -> bool:
     """Whether t[a:b] stands as words of its own."""
     return not ((a > 0 and t[a].isalnum() and t[a - 1].isalnum()) or (b < len(t) and t[b - 1].isalnum() and t[b].isalnum()))
@@ -177,17 +216,19 @@ def _cut(n: re.Match, t: str) -> int:
 _BACK = re.compile(rf"(?:{_TITLE}\s+{_TOKEN}|{_TOKEN},\s+{_TOKEN}|{_TOKEN}(?:\s+{LETTER}\.?)?\s+{_TOKEN})\s*$", re.I)
 
 
-def _name_after(t: str, a: int) -> tuple[int, int] | None:
-    head = t[max(0, a - 60) : a]
+def _name_after(t: str, a: int, loose: bool = True) -> tuple[int, int] | None:
+    """The name that ends right before ``a``."""
+    lo = back(t, a, NAME_BACK)
+    found = t[lo:a]
     best = None
-    for m in _BACK.finditer(head):
+    for m in _BACK.finditer(found):
         best = m
     if best is None:
         return None
-    found = head[best.start() :]
+    found = found[best.start() :]
     n = _NAME.match(found)
     # more words than a name before the cue: take the last that make one
-    while n and (n.end() < len(found.rstrip()) or not _name_ok(n, found, loose=True)):
+    while n and (n.end() < len(found.rstrip()) or not _name_ok(n, found, loose)):
         nxt = re.match(r"\S+\s+", found)
         if not nxt:
             return None
@@ -214,28 +255,53 @@ def _beside(t: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
                 end = n.end() if _STOP.match(t, n.end()) or _NEW.match(t, n.end()) else (_cut(n, t) if n.group("t") else 0)
                 if end or all(w[:1].isupper() for w in n.group().split()):
                     out.append((n.start(), end or n.end()))
-        m = re.search(r"(?:^|[;:\-–\n])\s*([^;:\n]{3,48});\s*<?\s*$", t[max(0, a - 60) : a])
-        if m:
-            n = _NAME.match(m.group(1))
-            if n and n.end() == len(m.group(1).rstrip()) and _name_ok(n, m.group(1), loose=True):
-                at = max(0, a - 60) + m.start(1)
-                out.append((at, at + n.end()))
+        k = a
+        while k > 0 and (t[k - 1].isspace() or t[k - 1] == "<"):
+            k -= 1
+        if k and t[k - 1] == ";":
+            lo = back(t, k - 1, NAME_BACK)
+            piece = re.split(r"[;:\n]", t[lo : k - 1])[-1]
+            for part in (piece, re.split(r"[\-–]\s", piece)[-1]):
+                bare = part.strip()
+                n = _NAME.match(bare)
+                if n and n.end() == len(bare) and _name_ok(n, bare, loose=True):
+                    at = k - 1 - len(part) + len(part) - len(part.lstrip())
+                    out.append((at, at + n.end()))
+                    break
     return out
 
 
 def _identifier(t: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
-    rx = {"sin": _NINE, "health": _HEALTH, "passport": _PASS}[kind]
-    after = rx.search(t, b, min(len(t), b + 34))
-    if after and re.fullmatch(r"[\s:#.\-–=()]*(?:(?:number|num[ée]ro|no|n°|card|is|est|le|the|de|my|mon|ma)[\s:#.\-–]*){0,3}", t[b : after.start()], re.I):
-        return after.start(), after.end()
-    before = None
-    for before in rx.finditer(t, max(0, a - 30), a):
-        pass
-    if before and re.fullmatch(r"\s*[\s(\[\-–,]*(?:(?:my|mon|ma|is my|est mon|the|le)\s+)?", t[before.end() : a], re.I):
-        return before.start(), before.end()
+    """The number of this kind that stands right after or before its cue; its check digit holds where it has one."""
+    after = _AFTER_CUE[kind].match(t, b)
+    lo = back(t, a, NUMBER_BACK)
+    for m, off in ((after, 0), (None if after else _BEFORE_CUE[kind].search(t[lo:a]), lo)):
+        if m and (kind != "sin" or luhn(re.sub(r"\D", "", m.group("v")))):
+            return m.start("v") + off, m.end("v") + off
     return None
 
 
+def _streets(t: str, a: int) -> Iterator[tuple[int, int]]:
+    """Addresses whose street word stands at ``a``: number and name before it, or number before and name after it."""
+    lo = back(t, a, STREET_BACK)
+    m = _EN_STREET.search(t, lo)
+    while m and m.start() < a:
+        if m.start("s") == a:
+            words = m.group("w").split()
+            plain = m.group("s").lower() in _CAPITAL_ONLY and not m.group("s")[:1].isupper()
+            if not plain and words[0][:1].isupper() and not any(w.lower() in NOT_STREETS for w in words):
+                yield m.span()
+            elif all(w.lower() not in NOT_STREETS for w in words) and len(words) <= 2 and m.group("s").lower() in ("street", "avenue", "ave", "road", "drive", "lane", "crescent", "blvd", "boulevard", "st"):
+                yield m.span()
+        m = _EN_STREET.search(t, m.start() + 1)
+    m = _FR_STREET.search(t, lo)
+    while m and m.start() < a:
+        if m.start("s") == a:
+            yield m.span()
+            break
+        m = _FR_STREET.search(t, m.start() + 1)
+
+
 def find(t: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal data in a text in comparison form, not overlapping, in order."""
     low = t.lower()
@@ -243,7 +309,6 @@ def find(t: str) -> list[tuple[int, int, str]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
     found: list[tuple[int, int, str]] = []
     links: list[tuple[int, int]] = []
-    street = box = False
     hits = []
     for end, (n, kinds) in anchors().iter(low):
         a, b = end - n + 1, end + 1
@@ -252,24 +317,32 @@ def find(t: str) -> list[tuple[int, int, str]]:
                 m = _LINK.match(t, a)
                 if m:
                     links.append(m.span())
-            elif k == "street":
-                street = street or _edge(low, a, b)
-            elif k == "box":
-                box = True
-            else:
+            elif k != "area" or (not t[b : b + 1].isdigit() or not t[a - 1 : a].isdigit() or a == 0 or t[a - 1] == "1"):
                 hits.append((a, b, k))
     for a, b, k in hits:
         span = None
         if k == "at":
             span = _email(t, a, b)
             k = "EMAIL"
+        elif k == "area":
+            span = _phone(t, a)
+            if span and _THING.search(t[back(t, span[0], THING_BACK) : span[0]]):
+                span = None
+            k = "PHONE"
         elif k[:3] == "id:" and _edge(low, a, b):
             span = _identifier(t, k[3:], a, b)
             k = "ID"
+        elif k == "street" and _edge(low, a, b):
+            found += [(*s, "ADDRESS") for s in _streets(t, a)]
+        elif k == "box":
+            m = _BOX.match(t, a)
+            if m and _edge(low, *m.span()):
+                span = m.span()
+            k = "ADDRESS"
         elif k == "before" and _edge(low, a, b):
             found += [(*s, "NAME") for s in _names_before(t, b, low[a:b])]
-        elif k == "after" and not (a and low[a - 1].isalnum()):
-            span = _name_after(t, a)
+        elif k in ("after", "did") and not (a and low[a - 1].isalnum()) and (k == "after" or _edge(low, a, b)):
+            span = _name_after(t, a, loose=k == "after")
             k = "NAME"
         elif k == "title" and not (a and low[a - 1].isalnum()):
             m = _TITLED.match(t, a)
@@ -277,21 +350,6 @@ def find(t: str) -> list[tuple[int, int, str]]:
                 found.append((*m.span(), "NAME"))
         if span:
             found.append((*span, k))
-    if street:
-        for m in _EN_STREET.finditer(t):
-            words = m.group("w").split()
-            plain = m.group("s").lower() in _CAPITAL_ONLY and not m.group("s")[:1].isupper()
-            if not plain and words[0][:1].isupper() and not any(w.lower() in NOT_STREETS for w in words):
-                found.append((*m.span(), "ADDRESS"))
-            elif all(w.lower() not in NOT_STREETS for w in words) and len(words) <= 2 and m.group("s").lower() in ("street", "avenue", "ave", "road", "drive", "lane", "crescent", "blvd", "boulevard", "st"):
-                found.append((*m.span(), "ADDRESS"))
-        found += [(*m.span(), "ADDRESS") for m in _FR_STREET.finditer(t)]
-    if box:
-        found += [(*m.span(), "ADDRESS") for m in _BOX.finditer(t) if _edge(low, *m.span())]
-    if sum(map(str.isdigit, t)) >= 10:
-        for m in [*_PHONE.finditer(t), *_PHONE_LONG.finditer(t)]:
-            if not _THING.search(t[max(0, m.start() - 24) : m.start()]):
-                found.append((*m.span(), "PHONE"))
     if not found:
         return []
     found = [(a, b - (k == "ADDRESS" and t[b - 1] == "."), k) for a, b, k in found]
@@ -307,36 +365,46 @@ def find(t: str) -> list[tuple[int, int, str]]:
 
 
 def redact_batch(arr: pa.Array) -> tuple[list[str | None], list[list[str] | None]]:
-    """(texts with placeholders, kinds found in order of KINDS) of all rows."""
-    parts = [_redact(part) for part in slices(arr)]
-    return [t for ts, _ in parts for t in ts], [k for _, ks in parts for k in ks]
-
-
-def _redact(arr: pa.Array) -> tuple[list[str | None], list[list[str] | None]]:
+    """(texts with placeholders, kinds found in order of KINDS) of all rows; a text that comes again is read once."""
+    coded = arr.dictionary_encode()
+    texts, kinds = [], []
+    for part in slices(coded.dictionary):
+        t, k = _redact(part)
+        texts += t
+        kinds += k
+    at = coded.indices.to_pylist()
+    return [None if i is None else texts[i] for i in at], [None if i is None else kinds[i] for i in at]
+
+
+def _redact(arr: pa.Array) -> tuple[list[str], list[list[str]]]:
+    """Of texts that aren't null. Where the comparison form of a text is the text, places are places in it."""
     codes, offs = codes_of(arr)
-    out, new, src = normalise(codes, offs, "skeleton")
-    plain = text_of(out, new).to_pylist()
+    loose = changed_rows(codes, offs, "skeleton")
     stored = arr.to_pylist()
-    texts: list[str | None] = []
-    kinds: list[list[str] | None] = []
-    for i, (raw, t) in enumerate(zip(stored, plain)):
-        if raw is None:
-            texts.append(None)
-            kinds.append(None)
-            continue
+    forms: dict[int, tuple[str, np.ndarray]] = {}
+    rows = np.flatnonzero(loose)
+    if len(rows):
+        codes, offs = codes_of(arr.take(pa.array(rows)))
+        out, new, src = normalise(codes, offs, "skeleton")
+        for j, (i, t) in enumerate(zip(rows, text_of(out, new).to_pylist())):
+            forms[int(i)] = (t, src[new[j] : new[j + 1]] - offs[j])
+    texts: list[str] = []
+    kinds: list[list[str]] = []
+    for i, raw in enumerate(stored):
+        t, at = forms.get(i, (raw, None))
         spans = find(t)
         kinds.append([k for k in KINDS if any(s[2] == k for s in spans)])
-        if not spans:
-            texts.append(raw)
-            continue
-        at, base = src[new[i] : new[i + 1]] - offs[i], len(raw)
-        order = np.minimum.accumulate(np.concatenate([at, [base]])[::-1])[::-1]
+        if at is not None and spans:
+            base = len(raw)
+            order = np.minimum.accumulate(np.concatenate([at, [base]])[::-1])[::-1]
+            ends = [(order[a], max(order[b] if b < len(at) else base, order[b - 1] + 1)) for a, b, _ in spans]
+        else:
+            ends = [(a, b) for a, b, _ in spans]
         piece, last = [], 0
-        for a, b, k in spans:
-            piece += [raw[last : order[a]], f"[{k}]"]
-            last = max(order[b] if b < len(at) else base, order[b - 1] + 1)
-        piece.append(raw[last:])
-        texts.append("".join(piece))
+        for (a, b), (*_, k) in zip(ends, spans):
+            piece += [raw[last:a], f"[{k}]"]
+            last = b
+        texts.append("".join([*piece, raw[last:]]) if piece else raw)
     return texts, kinds
 
 

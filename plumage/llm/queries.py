@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from plumage.llm.langid import fit_once, label_of, text_language, training_sample, with_segments
 from plumage.llm.linkage import link
 from plumage.llm.mixing import deviations, mix, shares
-from plumage.llm.packing import pack
+from plumage.llm.packing import pack_all
 from plumage.llm.pii import redact
 from plumage.llm.residue import residue_evidence
-from plumage.llm.textform import alike_pairs, with_form
+from plumage.llm.textform import alike_pairs, looks_alike, with_form
 from plumage.llm.tokens import n_tokens
 from plumage.operators.tweets import tweet_id
 from plumage.plans.registry import Registry
@@ -24,19 +24,22 @@ from plumage.session import broadcast_if_small, cut_lineage
 reg = Registry()
 
 
-def tweet_texts(tweets: DataFrame) -> DataFrame:
-    """(field, row_key, text), distinct: tweets' texts by tweet id and users' descriptions by user id.
-
-    Repeats, such as the profile of a busy user, are merged before the shuffle.
-    """
+def tweet_rows(tweets: DataFrame) -> DataFrame:
+    """(field, row_key, text): tweets' texts by tweet id and users' descriptions by user id, of every delivery."""
     t = F.struct(F.lit("full_text").alias("field"), tweet_id().alias("row_key"), F.col("tweet_json.full_text").alias("text"))
     d = F.struct(F.lit("description").alias("field"), F.col("tweet_json.user.id").alias("row_key"), F.col("tweet_json.user.description").alias("text"))
-    return tweets.select(F.inline(F.array(t, d))).where("row_key IS NOT NULL AND text IS NOT NULL").distinct()
+    return tweets.select(F.inline(F.array(t, d))).where("row_key IS NOT NULL AND text IS NOT NULL")
+
+
+def tweet_texts(tweets: DataFrame) -> DataFrame:
+    """The same, distinct: repeats, such as the profile of a busy user, are merged before the shuffle."""
+    return tweet_rows(tweets).distinct()
 
 
 @reg.query("p4_found")
 def p4_found(read):
-    return redact(tweet_texts(read("tweets")), "text").select("field", "row_key", F.explode("pii_kinds").alias("kind")).distinct()
+    """Texts are read where they lie, each once a batch; only what is found is shuffled."""
+    return redact(tweet_rows(read("tweets")), "text").select("field", "row_key", F.explode("pii_kinds").alias("kind")).distinct()
 
 
 @reg.query("p4_redacted")
@@ -47,7 +50,7 @@ def p4_redacted(read):
 
 @reg.query("p6_found")
 def p6_found(read):
-    return alike_pairs(tweet_texts(read("tweets")), "field", "row_key", "text")
+    return alike_pairs(tweet_rows(read("tweets")), "field", "row_key", "text")
 
 
 @reg.query("p6_readable")
@@ -83,16 +86,12 @@ _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x
 @reg.query("p8_found", f"SELECT DISTINCT p.capacity, d.doc_id FROM (SELECT doc_id, {_TOKENS} AS n FROM documents) d JOIN pack_specs p ON d.n > p.capacity")
 def p8_found(read):
     """Those that the packing itself cuts: documents that lie in several containers."""
-    docs = sized_documents(read)
-    out = [pack(docs, "doc_id", "n_tokens", c).where("piece = 1").select(F.lit(c).cast("int").alias("capacity"), "doc_id") for c in _capacities(read)]
-    return functools.reduce(DataFrame.unionByName, out).distinct()
+    return p8_packed(read).where("piece = 1").select("capacity", "doc_id").distinct()
 
 
 @reg.query("p8_packed")
 def p8_packed(read):
-    docs = sized_documents(read)
-    out = [pack(docs, "doc_id", "n_tokens", c).withColumn("capacity", F.lit(c).cast("int")) for c in _capacities(read)]
-    return functools.reduce(DataFrame.unionByName, out)
+    return pack_all(sized_documents(read), "doc_id", "n_tokens", _capacities(read))
 
 
 @reg.query(
@@ -210,3 +209,10 @@ def p2_segments(read):
     """Every stretch of every text with its language, confidence and place: a stretch is the stored text's code points from ``start`` to ``end``."""
     s = _segmented(read).select("table_name", "row_key", F.inline("segments"))
     return s.select("table_name", "row_key", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "n_words", "start", "end")
+
+
+@reg.query("p6_classes")
+def p6_classes(read):
+    """One row for each text that has a twin in other characters, with its class: pairs are those of one class with different ``text_id``."""
+    c = looks_alike(tweet_rows(read("tweets")), "field", "row_key", "text")
+    return c.select("field", F.col("key").alias("row_key"), F.col("form.h1").alias("class_id"), F.col("text_id.h1").alias("text_id"))

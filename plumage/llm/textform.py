@@ -302,6 +302,7 @@ def changed_rows(codes: np.ndarray, offs: np.ndarray, form: str) -> np.ndarray:
 
 
 def normalise_array(arr: pa.Array, form: str = "readable") -> pa.Array:
+    """The form of all rows; those that it leaves as they are pass through."""
     out = []
     for part in slices(arr):
         codes, offs = codes_of(part)
@@ -344,8 +345,9 @@ def looks_alike(texts: DataFrame, field: str, key: str, text: str) -> DataFrame:
     different stored texts are given. Null texts are in no class; empty ones look like those of only
     invisible characters. Rows repeated come out once.
     """
-    rows = texts.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").distinct()
-    coded = with_form(rows, "text", "seen", "skeleton").select("field", "key", two_hashes(F.col("text")).alias("text_id"), two_hashes(F.col("seen")).alias("form"))
+    rows = texts.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    # hashes of the stored and the seen text are all that is shuffled: rows of one text are merged by them
+    coded = with_form(rows, "text", "seen", "skeleton").select("field", "key", two_hashes(F.col("text")).alias("text_id"), two_hashes(F.col("seen")).alias("form")).distinct()
     coded = cut_lineage(coded)  # narrow; the text is read and normalised once
     several = coded.groupBy("field", "form").agg(F.min("text_id").alias("_a"), F.max("text_id").alias("_b")).where("_a != _b").select("field", "form")
     return coded.join(several, ["field", "form"], "left_semi")

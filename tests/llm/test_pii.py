@@ -34,6 +34,13 @@ def red(t):
         ("Thanks to the crossing guard for the ride", "Thanks to the crossing guard for the ride"),
         ("Yorick M. Delacroisette was so kind to us.", "[NAME] was so kind to us."),
         ("Contact: 604-555-0130; NADEZHKA MACQUILLOW", "Contact: [PHONE]; [NAME]"),
+        ("they read out my SIN 046 454 287 aloud", "they read out my SIN 046 454 287 aloud"),
+        ("My SIN                                                        is: 046 454 286", "My SIN                                                        is: [ID]"),
+        ("Marisol Quenneville told everyone to wait.", "[NAME] told everyone to wait."),
+        ("Then Bartholomew-Maximilian Featherstonehaugh-Cholmondeley-Wolfeschlegelstein was so kind.", "Then [NAME] was so kind."),
+        ("The radio told us to wait, and Parks Canada said no", "The radio told us to wait, and Parks Canada said no"),
+        ("(416) 555-0148, 416 555-0148) and $416 555 0148", "[PHONE], [PHONE]) and $416 555 0148"),
+        ("We moved to 4512b Old Mill Creek Crescent NW, T2P 1J9 in May", "We moved to [ADDRESS] in May"),
         ("see https://t.example/604-555-0130 now", "see https://t.example/604-555-0130 now"),
         ("call ４１６-５５５-０１４８ or a​b@mаil.example", "call [PHONE] or [EMAIL]"),
     ],
@@ -63,3 +70,18 @@ def test_contact_lists_are_read_to_their_end():
     assert red(f"Contact: {words}NADEZHKA MACQUILLOW") == f"Contact: {words}[NAME]"
     assert red("Contact: Dr. Castelmar; the desk; NADEZHKA MACQUILLOW") == "Contact: [NAME]; the desk; [NAME]"
     assert red(f"Contact: the desk. {words}NADEZHKA MACQUILLOW").endswith("NADEZHKA MACQUILLOW")
+
+
+def test_cues_reach_as_far_as_their_grammar():
+    names = "; ".join(f"Aaa{chr(97 + i)} Bbb{chr(97 + i)}" for i in range(26))
+    assert [k for *_, k in find(f"Contact: {names}")] == ["NAME"] * 26
+    long = "x" * 500
+    assert [k for *_, k in find(f"{long} order no. 604-555-0130")] == [] and [k for *_, k in find(f"{long} 604-555-0130")] == ["PHONE"]
+    assert find("12 " + "z" * 100_000 + " Street") and len(find("604-555-0130 " * 3000)) == 3000
+
+
+def test_batches_read_a_text_once():
+    arr = pa.array(["a@b.example", None, "a@b.example", "", "plain"])
+    t, k = redact_batch(arr)
+    assert t == ["[EMAIL]", None, "[EMAIL]", "", "plain"] and k == [["EMAIL"], None, ["EMAIL"], [], []]
+    assert redact_batch(arr.slice(1, 2)) == ([None, "[EMAIL]"], [None, ["EMAIL"]])

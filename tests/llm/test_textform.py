@@ -53,3 +53,23 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert alike_pairs(df.limit(0), "f", "k", "t").count() == 0 and looks_alike(df.limit(0), "f", "k", "t").count() == 0
     assert with_form(df, "t", "form").columns == ["f", "k", "t", "form"]
+
+
+def test_hangul_syllables_and_their_letters():
+    for text in ("한국어", "마스크를 쓰세요", "값"):
+        apart = unicodedata.normalize("NFD", text)
+        assert apart != text and form(apart) == form(text) == [text] and form(apart, kind="skeleton") == form(text, kind="skeleton")
+
+
+def test_rows_that_stay_pass_through():
+    """What is skipped would have come out the same."""
+    from plumage.llm.textform import changed_rows, codes_of, normalise, text_of
+
+    rng = random.Random(9)
+    pool = "abc é ç œ ñ 😷 # @ 1 « » — “ ” Дякую ο а \u200b\u00a0e\u0301 ﬁ ｆ 한 각 \u1112\u1161 \u200d 👩‍🔬 \n\t İ ſ ß ½".replace(" ", "") + "  "
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))) for _ in range(3000)]
+    for kind in ("readable", "skeleton"):
+        codes, offs = codes_of(pa.array(rows))
+        full = text_of(*normalise(codes, offs, kind)[:2]).to_pylist()
+        assert form(*rows, kind=kind) == full
+        assert 0 < changed_rows(codes, offs, kind).sum() < len(rows)
