@@ -147,15 +147,17 @@ def text_of(codes: np.ndarray, offs: np.ndarray, nulls: np.ndarray | None = None
 # ---- the forms ---------------------------------------------------------------------------------------
 
 
-def _expand(codes: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+def _expand(codes: np.ndarray, offs: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """(replacements, index of the code point each stems from)."""
     known = codes < TOP
     c = np.where(known, codes, 0)
     n = np.where(known, t.count[c], (codes < 0xE0000) | (codes > 0xE0FFF)).astype(np.int64)
     joiner = np.flatnonzero(codes == ZWJ)
     if len(joiner):
-        before = np.where(joiner > 0, codes[joiner - 1], 0)
-        after = np.where(joiner + 1 < len(codes), codes[np.minimum(joiner + 1, len(codes) - 1)], 0)
+        edge = np.zeros(len(codes) + 1, bool)  # a joiner joins nothing across rows
+        edge[offs] = True
+        before = np.where(edge[joiner], 0, codes[np.maximum(joiner - 1, 0)])
+        after = np.where(edge[joiner + 1], 0, codes[np.minimum(joiner + 1, len(codes) - 1)])
         n[joiner] = (before >= SYMBOLS_FROM) & (after >= SYMBOLS_FROM)
     src = np.repeat(np.arange(len(codes)), n)
     first = np.cumsum(n) - n
@@ -246,7 +248,7 @@ def _fold_words(codes: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
 def normalise(codes: np.ndarray, offs: np.ndarray, form: str = "readable") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, offsets, source index of each code) of the form of all rows."""
     t = tables()
-    out, src = _expand(codes, t)
+    out, src = _expand(codes, offs, t)
     row = np.searchsorted(offs, src, side="right") - 1
     if form == "skeleton":
         # letters are folded while accents are apart, so an accented look-alike folds like a plain one
