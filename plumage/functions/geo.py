@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,40 +19,48 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def vincenty_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float | None:
-    """Distance on the WGS-84 ellipsoid by Vincenty's inverse formula (1975); None if it doesn't converge."""
-    if (lat1, lon1) == (lat2, lon2):
-        return 0.0
+def vincenty_km(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Distances on the WGS-84 ellipsoid by Vincenty's inverse formula (1975), of arrays or numbers; NaN where it doesn't converge or one is missing."""
+    lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.asarray(v, np.float64) for v in (lat1, lon1, lat2, lon2)))
     b = (1 - WGS_F) * WGS_A
-    u1, u2 = math.atan((1 - WGS_F) * math.tan(math.radians(lat1))), math.atan((1 - WGS_F) * math.tan(math.radians(lat2)))
-    diff = lam = math.radians(lon2 - lon1)
-    s1, c1, s2, c2 = math.sin(u1), math.cos(u1), math.sin(u2), math.cos(u2)
-    for _ in range(200):
-        sl, cl = math.sin(lam), math.cos(lam)
-        ss = math.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
-        if ss == 0:
-            return 0.0
-        cs = s1 * s2 + c1 * c2 * cl
-        sigma = math.atan2(ss, cs)
-        sa = c1 * c2 * sl / ss
-        ca2 = 1 - sa * sa
-        c2m = cs - 2 * s1 * s2 / ca2 if ca2 else 0.0
-        c = WGS_F / 16 * ca2 * (4 + WGS_F * (4 - 3 * ca2))
-        before, lam = lam, diff + (1 - c) * WGS_F * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
-        if abs(lam - before) < 1e-12:
-            break
-    else:
-        return None
-    u = ca2 * (WGS_A**2 - b**2) / b**2
-    big_a = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
-    big_b = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
-    turn = big_b * ss * (c2m + big_b / 4 * (cs * (2 * c2m * c2m - 1) - big_b / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
-    return b * big_a * (sigma - turn)
+    u1, u2 = np.arctan((1 - WGS_F) * np.tan(np.radians(lat1))), np.arctan((1 - WGS_F) * np.tan(np.radians(lat2)))
+    diff = np.radians(lon2 - lon1)
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam, out = diff.copy(), np.full(diff.shape, np.nan)
+    out[(lat1 == lat2) & (lon1 == lon2)] = 0.0
+    live = np.flatnonzero(np.isnan(out.ravel()) & np.isfinite(diff.ravel() + u1.ravel() + u2.ravel()))
+    flat = [v.ravel()[live] for v in (s1, c1, s2, c2, diff, lam)]
+    result = out.ravel()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(200):
+            if not len(live):
+                break
+            s1, c1, s2, c2, diff, lam = flat
+            sl, cl = np.sin(lam), np.cos(lam)
+            ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            cs = s1 * s2 + c1 * c2 * cl
+            sigma = np.arctan2(ss, cs)
+            sa = np.where(ss == 0, 0.0, c1 * c2 * sl / ss)
+            ca2 = 1 - sa * sa
+            c2m = np.where(ca2 > 0, cs - 2 * s1 * s2 / ca2, 0.0)
+            c = WGS_F / 16 * ca2 * (4 + WGS_F * (4 - 3 * ca2))
+            new = diff + (1 - c) * WGS_F * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1)))
+            done = (np.abs(lam - new) < 1e-12) | (ss == 0)
+            if done.any():
+                u = ca2 * (WGS_A**2 - b**2) / b**2
+                big_a = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+                big_b = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+                turn = big_b * ss * (c2m + big_b / 4 * (cs * (2 * c2m * c2m - 1) - big_b / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))
+                result[live[done]] = np.where(ss == 0, 0.0, b * big_a * (sigma - turn))[done]
+            flat = [v[~done] for v in (s1, c1, s2, c2, diff, new)]
+            live = live[~done]
+    return result.reshape(out.shape)
 
 
 @F.pandas_udf(T.DoubleType())
 def _ellipsoid(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a + b + c + d) else vincenty_km(a, b, c, d) for a, b, c, d in zip(lat1, lon1, lat2, lon2)], dtype="float64")
+    d = vincenty_km(*(v.to_numpy("float64", na_value=np.nan) for v in (lat1, lon1, lat2, lon2)))
+    return pd.Series(d).astype("Float64").mask(np.isnan(d))
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, method: str = "sphere") -> Column:

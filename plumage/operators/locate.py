@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,8 +45,21 @@ def medoid(points: DataFrame, group: str, order: str, lat: str = "lat", lon: str
 
 
 def has_clique(points: list[tuple[float, float]], k: int, km: float) -> bool:
-    """Whether ``k`` of the points are pairwise at most ``km`` apart."""
-    near = [{j for j in range(len(points)) if j != i and (points[i] == points[j] or (vincenty_km(*points[i], *points[j]) or 0) <= km)} for i in range(len(points))]
+    """Whether ``k`` of the points are pairwise at most ``km`` apart.
+
+    Only points of nearby latitudes are measured, as arrays. A distance that the formula doesn't give counts as 0.
+    """
+    if k <= 1:
+        return len(points) >= k
+    lat, lon = (np.array(v, float) for v in zip(*sorted(points))) if points else (np.empty(0), np.empty(0))
+    last = np.searchsorted(lat, lat + km / 110.0, side="right")  # a degree is more than 110 km
+    near: list[set[int]] = [set() for _ in lat]
+    for i in range(len(lat)):
+        j = np.arange(i + 1, last[i])
+        d = np.nan_to_num(vincenty_km(lat[i], lon[i], lat[j], lon[j]), nan=0.0)
+        for x in j[d <= km].tolist():
+            near[i].add(x)
+            near[x].add(i)
 
     def grow(chosen: int, open_: set[int]) -> bool:
         if chosen == k:

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.session import broadcast_if_small
+from plumage.session import cut_lineage
+
+
+#: A confusion matrix has a cell for every pair of classes; of more classes it is refused.
+MAX_CLASSES = 1_000
+
+
+def _beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``one``, which has one row for each ``by`` group, or one in all."""
+    return df.join(one, by) if by else df.join(F.broadcast(one), F.lit(True))
 
 
 def confusion(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., class, guess, n) for all pairs of the classes seen, zeros filled in. ``pred`` has class, guess."""
     by = by or []
-    n = pred.groupBy(*by, "class", "guess").agg(F.count(F.lit(1)).alias("n"))
-    classes = broadcast_if_small(pred.select(F.explode(F.array("class", "guess")).alias("c")).where("c IS NOT NULL").distinct(), 1_000)
+    n = cut_lineage(pred.groupBy(*by, "class", "guess").agg(F.count(F.lit(1)).alias("n")))  # few rows: the guesses are made once
+    rows = n.select(F.explode(F.array("class", "guess")).alias("c")).where("c IS NOT NULL").distinct().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    kind = pred.schema["class"].dataType
+    every = F.array(*[F.lit(r["c"]) for r in sorted(rows)]).cast(f"array<{kind.simpleString()}>")
     groups = n.select(*by).distinct() if by else pred.sparkSession.range(1).select()
-    a, b = classes.withColumnRenamed("c", "class"), classes.withColumnRenamed("c", "guess")
-    cells = groups.join(a, F.lit(True)).join(b, F.lit(True))  # classes squared, few
+    cells = groups.select(*by, F.explode(every).alias("class")).select(*by, "class", F.explode(every).alias("guess"))
     return cells.join(n, [*by, "class", "guess"], "left").select(*by, "class", "guess", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -28,7 +40,7 @@ def one_vs_rest(conf: DataFrame, by: list[str] | None = None) -> DataFrame:
         s((F.col("class") == F.col("c")) & (F.col("guess") == F.col("c"))).alias("tp"), s((F.col("class") != F.col("c")) & (F.col("guess") == F.col("c"))).alias("fp"), s((F.col("class") == F.col("c")) & (F.col("guess") != F.col("c"))).alias("fn")
     )
     total = conf.groupBy(*by).agg(F.sum("n").alias("_n"))
-    j = part.join(F.broadcast(total), by or F.lit(True))
+    j = _beside(part, total, by)
     return j.select(*by, F.col("c").alias("class"), "tp", "fp", "fn", (F.col("_n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
 
 
@@ -50,8 +62,7 @@ def macro(ovr: DataFrame, conf: DataFrame, by: list[str] | None = None) -> DataF
     c = per_class(ovr, by).groupBy(*by).agg(F.avg(F.coalesce("precision", F.lit(0.0))).alias("precision"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("recall"))
     pooled = ovr.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") + F.col("tn")), F.sum(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("pooled_accuracy"))
     acc = conf.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("class") == F.col("guess"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    on = by or F.lit(True)
-    j = c.join(F.broadcast(pooled), on).join(F.broadcast(acc), on)
+    j = _beside(_beside(c, pooled, by), acc, by)
     return j.select(*by, "precision", "recall", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), "accuracy", "pooled_accuracy")
 
 

@@ -184,21 +184,20 @@ def tfidf(read):
     return T.tfidf(docs_of(read)).select("doc", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
-def _knn_sql(k: int, metric: str, searched: str = "b.vec_id % 20 <> 0") -> str:
+def _knn_sql(k: int, metric: str) -> str:
     sim = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])" if metric == "dot" else "-list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-    return f"nb AS (SELECT query, truth, label, r FROM (SELECT a.vec_id AS query, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({sim}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {searched}) WHERE r <= {k})"
+    return f"nb AS (SELECT query, truth, label, r FROM (SELECT a.vec_id AS query, a.label AS truth, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({sim}, 9) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) WHERE r <= {k})"
 
 
-def _neighbours(read, k: int, metric: str = "dot", others: bool = False):
-    """The stated query set, every row whose id is divisible by 20, against the rows outside it or, with
-    ``others``, against all other rows, those of the query set included."""
+def _neighbours(read, k: int, metric: str = "dot"):
+    """The stated query set, every row whose id is divisible by 20, against all other rows, those of the query set included."""
     e = read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
     q = e.where("id % 20 = 0")
-    return q, K.neighbours(q, e if others else e.where("id % 20 <> 0"), k, metric, others)
+    return q, K.neighbours(q, e, k, metric, others=True)
 
 
-def _knn(read, k: int, metric: str = "dot", others: bool = False):
-    q, n = _neighbours(read, k, metric, others)
+def _knn(read, k: int, metric: str = "dot"):
+    q, n = _neighbours(read, k, metric)
     return q.select(F.col("id").alias("query"), F.col("label").alias("class")).join(K.vote(n), "query")
 
 
@@ -220,25 +219,6 @@ def knn_euclid(read):
     return _knn(read, 1, "euclid")
 
 
-#: The search of the whole table: only the query's own id is passed over.
-_OTHERS = "b.vec_id <> a.vec_id"
-
-
-@reg.query("knn1_all", f"WITH {_knn_sql(1, 'dot', _OTHERS)} {_VOTE}")
-def knn1_all(read):
-    return _knn(read, 1, others=True)
-
-
-@reg.query("knn3_vote_all", f"WITH {_knn_sql(3, 'dot', _OTHERS)} {_VOTE}")
-def knn3_vote_all(read):
-    return _knn(read, 3, others=True)
-
-
-@reg.query("knn_euclid_all", f"WITH {_knn_sql(1, 'euclid', _OTHERS)} {_VOTE}")
-def knn_euclid_all(read):
-    return _knn(read, 1, "euclid", others=True)
-
-
 @reg.query("label_spreading")
 def label_spreading(read):
     """Labels of every fifth vector spread over the whole table of vectors."""

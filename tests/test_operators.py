@@ -17,7 +17,7 @@ from plumage.operators import knn as K
 from plumage.operators import locate as L
 from plumage.operators import metrics as M
 from plumage.operators import rank as R
-from plumage.operators.users import tag_country
+from plumage.operators.users import nearest_entry, tag_country
 
 
 def one(spark, *cols):
@@ -200,8 +200,6 @@ def test_label_spreading(spark):
     x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(3, 0.1, (30, 2))])
     df = spark.createDataFrame([(i, v.tolist(), (0 if i == 0 else 1 if i == 30 else -1)) for i, v in enumerate(x)], "id long, vec array<double>, label int")
     assert {r.id: r.guess for r in K.spread_labels(df).collect()} == {i: int(i >= 30) for i in range(60)}
-    with pytest.raises(ValueError):
-        K.spread_labels(df, most=10)
 
 
 def test_text_functions(spark):
@@ -253,3 +251,53 @@ def test_word_shapes_and_tag_features(spark):
     assert all(len(x) == 34 for x in v.values()) and v[1][:3] == [-1.5, 3.0, 3.0] and v[2][3:23][1] == 1 and v[2][3:23][3] == 1
     assert v[4][30:] == [0, 0, 1, 7.0] and v[5][30:33] == [0, 1, 0]  # running: slang by its stem, known as a whole
     assert H.tag_features(c.limit(0), "seg", "best", counts, terms).count() == 0
+
+
+def test_label_spreading_in_blocks(spark):
+    """Beyond ``most`` points the same guesses come from blocks on the executors."""
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 3, 90)
+    rows = [(i, (np.eye(3)[c] + rng.normal(0, 0.15, 3)).tolist(), int(c) if i % 6 == 0 else -1) for i, c in enumerate(centre)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 0.0, 0.0], 1), (500, None, 1)], "id long, vec array<double>, label int")
+    one = {r.id: r.guess for r in K.spread_labels(df).collect()}
+    many = {r.id: r.guess for r in K.spread_labels(df, most=40).collect()}
+    assert one == many and set(one) == set(range(90)) and np.mean([one[i] == c for i, c in enumerate(centre)]) > 0.9
+    none = {r.guess for r in K.spread_labels(df.withColumn("label", F.lit(-1)), most=40).collect()}
+    assert none == {-1} and K.spread_labels(df.limit(0)).count() == 0
+
+
+def test_euclid_neighbours_with_copies(spark):
+    """Copies of a query are at distance 0 exactly, however many; ties go to the smaller id."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (40, 5)) * 100
+    rows = [(i, (base[i % 8] if i < 60 else base[i % 40]).tolist(), f"l{i % 4}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string").repartition(3)
+    got = {(r.query, r["rank"]): r.id for r in K.neighbours(df.where("id % 7 = 0"), df, 4, "euclid", others=True).collect()}
+    for q in range(0, 100, 7):
+        x = np.array([v for _, v, _ in rows])
+        d = np.round(np.sqrt(((x - x[q]) ** 2).sum(1)), 9)
+        want = [i for _, i in sorted((d[i], i) for i in range(100) if i != q)[:4]]
+        assert [got[(q, r)] for r in range(1, 5)] == want
+
+
+def test_embed_with_kept_vectors(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "x")], "id long, t string")
+    kept = spark.createDataFrame([(1, [7.0, 7.0]), (1, [7.0, 7.0]), (9, [0.0]), (3, None)], "id long, vec array<double>")
+    assert {r.id: r.vec for r in K.embed(df, "id", "t", lambda ts: np.array([[len(t), 1.0] for t in ts]), kept).collect()} == {1: [7.0, 7.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
+
+
+def test_nearest_entry(spark):
+    g = spark.createDataFrame([(2, 45.0, -75.0, "B"), (1, 45.0, -75.0, "A"), (3, -45.0, 179.9, "C"), (4, 89.9, 0.0, "D"), (5, None, 1.0, "E")], "place_id int, lat double, lon double, v string")
+    p = spark.createDataFrame([(1, 45.1, -75.1), (2, -45.0, -179.9), (3, 89.9, 180.0), (4, None, 1.0), (5, 45.0, float("nan"))], "id int, lat double, lon double")
+    assert {r.id: r.v for r in p.select("id", nearest_entry(F.col("lat"), F.col("lon"), g, "v", "place_id").alias("v")).collect()} == {1: "A", 2: "C", 3: "D", 4: None, 5: None}
+    assert p.select(nearest_entry(F.col("lat"), F.col("lon"), g.limit(0), "v", "place_id").alias("v")).where("v IS NOT NULL").count() == 0
+
+
+def test_too_many_classes_are_refused(spark):
+    with pytest.raises(ValueError):
+        M.confusion(spark.range(2000).selectExpr("id AS class", "id AS guess"))
+
+
+def test_vincenty_on_arrays():
+    d = vincenty_km(np.array([0.0, 0.0, np.nan, -37.951033]), np.array([0.0, 0.0, 0.0, 144.424868]), np.array([0.0, 0.5, 1.0, -37.652821]), np.array([0.0, 179.7, 1.0, 143.926496]))
+    assert d[0] == 0 and np.isnan(d[1]) and np.isnan(d[2]) and d[3] == pytest.approx(54.972271, abs=1e-3)
