@@ -45,6 +45,25 @@ def floor_split(i: Column, n: Column, k: int) -> Column:
     return F.least(F.floor(i / F.floor(n / F.lit(k))), F.lit(k - 1)).cast("int")
 
 
+def _fold(df: DataFrame, v: int, k: int, fold: str) -> None:
+    if not 0 <= v < k:
+        raise ValueError(f"the validation fold is one of 0 to {k - 1}")
+    if fold not in df.columns:
+        raise ValueError(f"the rows have no {fold!r} yet")
+
+
+def training(df: DataFrame, v: int, k: int, fold: str = "fold") -> DataFrame:
+    """The rows of all folds but ``v``; a row without a fold is in none."""
+    _fold(df, v, k, fold)
+    return df.where(F.col(fold) != v)
+
+
+def validation(df: DataFrame, v: int, k: int, fold: str = "fold") -> DataFrame:
+    """The rows of fold ``v``."""
+    _fold(df, v, k, fold)
+    return df.where(F.col(fold) == v)
+
+
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: str = "0") -> DataFrame:
     """``n`` rows of each group by hash order; Spark prunes to ``n`` per task before the shuffle."""
     w = W.partitionBy(group).orderBy(shuffled(F.col(key), seed), key)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (8, 8, 8, 8, 1)
@@ -164,3 +165,23 @@ def training_pairs(labelled: DataFrame, key: str, seg: str, label: str, features
     if loss == "margin":
         j, diff = j.where("la != lb"), F.signum(diff)
     return j.select(F.col("key").alias(key), "a", "b", F.concat("xa", "xb").alias("x"), diff.alias("y"))
+
+
+def fit_pairs(pairs: DataFrame, keys: list[str], x: str, y: str, most: int, loss: str = "mse", epochs: int = 100, rate: float = 0.01, seed: int = 3) -> Callable[[Column], Column]:
+    """A column function that scores pair vectors, by a network fitted to at most ``most`` pairs in the order of a hash of ``keys``.
+
+    Of an empty table it scores everything 0.
+    """
+    sample = pairs.orderBy(F.xxhash64(*keys), *keys).limit(most).select(x, y).collect()
+    if not sample:
+        return lambda c: F.lit(0.0)
+    v = np.array([r[x] for r in sample], float)
+    mean, std = v.mean(0), v.std(0) + 1e-6
+    net = Ranker(v.shape[1] // 2, seed=seed)
+    net.train((v - mean) / std, np.array([r[y] for r in sample], float), loss=loss, epochs=epochs, rate=rate, dropout=0.0)
+
+    @F.pandas_udf("double")
+    def score(col: pd.Series) -> pd.Series:
+        return pd.Series(net.predict((np.stack(col.to_list()) - mean) / std).round(6) if len(col) else [], dtype="float64")
+
+    return score

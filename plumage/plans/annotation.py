@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from plumage.functions import text as X
@@ -28,8 +30,8 @@ def _reviewed(read):
 
 
 def _resolved(read):
-    """A sheet of resolutions: of every third position, the second rater's opinion."""
-    return A.pair_raters(read("rated_tweets"), R1, R2).where("row_idx % 3 = 0").select("file_name", "row_idx", F.col("mask_sentiment_2").alias("mask"), F.col("language_2").alias("lang"))
+    """A sheet of resolutions: where the sentiments differ, the second rater's opinion; other mismatches are still open."""
+    return A.pair_raters(read("rated_tweets"), R1, R2).where("mask_sentiment_1 <> mask_sentiment_2").select("file_name", "row_idx", F.col("mask_sentiment_2").alias("mask"), F.col("language_2").alias("lang"))
 
 
 @reg.query("rater_zip_mismatch", f"WITH {_PAIRS} SELECT file_name, row_idx, m1, m2, l1, l2, finding FROM f")
@@ -47,7 +49,7 @@ def blank_report(read):
     return A.blank_report(_reviewed(read))
 
 
-@reg.query("new_mismatches", f"WITH {_PAIRS} SELECT file_name, row_idx FROM f WHERE finding = 'mismatch' AND row_idx % 3 <> 0")
+@reg.query("new_mismatches", f"WITH {_PAIRS} SELECT file_name, row_idx FROM f WHERE finding = 'mismatch' AND NOT m1 <> m2")
 def new_mismatches(read):
     return A.new_mismatches(_reviewed(read), _resolved(read)).select("file_name", "row_idx")
 
@@ -55,7 +57,7 @@ def new_mismatches(read):
 @reg.query(
     "consolidate",
     rf"""WITH {_PAIRS}, c AS (SELECT t1 AS tweet_id, x1 AS full_text, CASE WHEN finding = 'agree' THEN l1 ELSE l2 END AS language, CASE WHEN finding = 'agree' THEN m1 ELSE m2 END AS m, file_name
-         FROM f WHERE finding = 'agree' OR finding = 'mismatch' AND row_idx % 3 = 0)
+         FROM f WHERE finding = 'agree' OR finding = 'mismatch' AND m1 <> m2)
          SELECT tweet_id, md5(full_text) AS text_md5, CASE WHEN language = 'French' THEN 'Not Sure' ELSE m END AS mask_sentiment, language, file_name FROM c
          WHERE len(list_filter(string_split_regex(full_text, '[{X.WHITE}]+'), lambda x: x <> '')) >= 5""",
 )
@@ -180,3 +182,11 @@ def sample_per_source(read):
 @reg.query("sample_global", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '#7'), doc_id LIMIT 100")
 def sample_global(read):
     return O.sample(read("documents").select("doc_id"), "doc_id", 100, "7").select("doc_id")
+
+
+@reg.query("fold_rows", f"SELECT v.v AS validation, doc_id, f.fold = v.v AS held_out FROM (SELECT doc_id, (i % 5)::INT AS fold FROM ({_NUM})) f, (VALUES (0), (1), (2), (3), (4)) v(v)")
+def fold_rows(read):
+    """The rows to train on and those held out, for each fold as validation."""
+    f = _numbered(read).select("doc_id", O.round_robin(F.col("i"), 5).alias("fold"))
+    parts = [d.select(F.lit(v).alias("validation"), "doc_id", F.lit(held).alias("held_out")) for v in range(5) for held, d in ((False, O.training(f, v, 5)), (True, O.validation(f, v, 5)))]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)

@@ -38,7 +38,12 @@ def p1_found(read):
     return tweet_child_table(read("tweet_lines"))
 
 
-@reg.query("p1_paths")
+@reg.query(
+    "p1_paths",
+    r"""WITH n AS (SELECT regexp_replace(regexp_replace(t.fullkey, '^\$\.?', ''), '\[\d+\]', '[]', 'g') AS path, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+         FROM (SELECT raw_line FROM tweet_lines WHERE json_valid(raw_line)) l, json_tree(l.raw_line::JSON) t)
+       SELECT path, count(*) AS nodes, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM n GROUP BY path""",
+)
 def p1_paths(read):
     """The schema found in all lines: how often each path occurs and as what."""
     return path_summary(dewey_nodes(read("tweet_lines"), ["line_id"], "raw_line"))

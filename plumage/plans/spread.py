@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumage.functions import text as X
@@ -12,6 +12,7 @@ from plumage.operators import locate as L
 from plumage.operators import rank as R
 from plumage.operators.tweets import tweet_points
 from plumage.plans.registry import Registry
+from plumage.session import cut_lineage
 
 reg = Registry()
 _KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -261,30 +262,33 @@ def beam_segment(read):
     return c.select("tag", F.posexplode("candidates").alias("pos", "c")).select("tag", (F.col("pos") + 1).alias("rank"), "c.seg", F.round("c.score", 6).alias("score"))
 
 
+#: Pairs that the pair network is fitted to, by hash order: its documented bound. Everything else covers all pairs.
+RANKER_SAMPLE = 5000
+
+
+def _tag_pairs(read) -> DataFrame:
+    """(tag, a, b, x, y): all ordered pairs of the five candidates of each tag, with both vectors and the difference of labels."""
+    cand = H.with_segments(_tags(read), "tag", _model(read), 5).join(_gold(read), "tag")
+    rows = cand.select("tag", "gold", F.explode("candidates").alias("c")).select("tag", "c.seg", "c.score", H.edit_label(F.col("c.seg"), F.array("gold")).alias("label"))
+    feats = rows.select("tag", "seg", "label", F.concat(F.array(F.col("score"), *H.word_shapes(F.col("seg"))), H.length_histogram(F.col("seg"))).alias("x"))
+    return R.training_pairs(feats, "tag", "seg", "label", "x").where("a <> b")
+
+
 @reg.query("rerank_greedy")
 def rerank_greedy(read):
     """Candidates of the beam search reordered by a pair network trained on edit labels of the tags' own capitals."""
-    lm = _model(read)
-    cand = H.with_segments(_tags(read), "tag", lm, 5).join(_gold(read), "tag")
-    rows = cand.select("tag", "gold", F.explode("candidates").alias("c")).select("tag", "c.seg", "c.score", H.edit_label(F.col("c.seg"), F.array("gold")).alias("label"), F.array(F.col("c.score"), *H.word_shapes(F.col("c.seg"))).alias("x1"), H.length_histogram(F.col("c.seg")).alias("x2"))
-    feats = rows.select("tag", "seg", "label", F.concat("x1", "x2").alias("x"))
-    pairs = feats.alias("p").join(feats.alias("q"), (F.col("p.tag") == F.col("q.tag")) & (F.col("p.seg") != F.col("q.seg")))
-    both = pairs.select(F.col("p.tag").alias("tag"), F.col("p.seg").alias("a"), F.col("q.seg").alias("b"), F.concat("p.x", "q.x").alias("x"), (F.col("p.label") - F.col("q.label")).cast("double").alias("y"))
-    sample = both.orderBy(F.xxhash64("tag", "a", "b"), "tag", "a", "b").limit(5000).select("x", "y").collect()  # the fit's bounded sample
-    if not sample:
-        return both.select("tag", F.col("a").alias("seg"), F.lit(1).alias("rank"))
-    x = np.array([r["x"] for r in sample])
-    mean, std = x.mean(0), x.std(0) + 1e-6
-    net = R.Ranker(x.shape[1] // 2, seed=3)
-    net.train((x - mean) / std, np.array([r["y"] for r in sample]), epochs=100, rate=0.01, dropout=0.0)
-
-    @F.pandas_udf("double")
-    def score(col):
-        import pandas as pd
-
-        return pd.Series(net.predict((np.stack(col.to_list()) - mean) / std).round(6))
-
-    return R.rerank(both.select("tag", "a", "b", score("x").alias("score")), "tag")
+    both = cut_lineage(_tag_pairs(read))
+    scorer = R.fit_pairs(both, ["tag", "a", "b"], "x", "y", RANKER_SAMPLE)
+    return R.rerank(both.select("tag", "a", "b", scorer(F.col("x")).alias("score")), "tag")
+
+
+@reg.query("hashtag_words")
+def hashtag_words(read):
+    """The whole way of a tag: without its sign, five segmentations, reordered where there are several; and texts written with the best."""
+    best = rerank_greedy(read).where("rank = 1").select("tag", "seg")
+    only = _tags(read).join(best.select("tag"), "tag", "left_anti").withColumn("seg", F.col("tag"))  # a single way needs no order
+    t = H.replace_tags(read("rated_tweets"), "rating_id", "full_text", best.unionByName(only))
+    return t.select("rating_id", F.md5("full_text").alias("text_md5"))
 
 
 @reg.query("hashtag_text", rf"""WITH {_TAGS}, {_GOLD}, t AS (SELECT rating_id, list_filter(string_split_regex(full_text, '[{X.WHITE}]+'), lambda x: x <> '') AS w FROM rated_tweets), u AS (SELECT rating_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumage.functions import text as X
 from plumage.functions.geo import box_middle
 from plumage.operators.folds import numbered
-from plumage.operators.tweets import tweet_id
+from plumage.operators.tweets import at_path, tweet_id
 from plumage.operators.users import DEMONYMS, LOCATION_TERMS, by_authors, in_country, nearest_entry, tag_country
 from plumage.plans.registry import Registry
 
@@ -121,6 +121,13 @@ def jsonpath_project(read):
 
 
 _TXT = "tweet_json.full_text"
+@reg.query("path_over_lists", "SELECT delivery_id, u AS mentioned FROM (SELECT delivery_id, unnest(list_transform(tweet_json.entities.user_mentions, lambda m: m.id)) AS u FROM tweets)")
+def path_over_lists(read):
+    """The ids at ``entities.user_mentions.id``, a member of each element of a list."""
+    t = read("tweets")
+    return t.select("delivery_id", F.explode(at_path(t, "tweet_json.entities.user_mentions.id")).alias("mentioned"))
+
+
 _KEY = f"""(list_has_any(string_split_regex(lower(coalesce({_TXT}, '')), '[{X.WHITE}]+'), {_LIST(X.MASK_KEYWORDS)}) OR """ + " OR ".join(f"contains(lower(coalesce({_TXT}, '')), '{p}')" for p in X.MASK_PHRASES) + ")"
 
 

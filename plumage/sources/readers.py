@@ -50,6 +50,15 @@ def locations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schemas.LOCATION)
 
 
+def location_model(spark: SparkSession, path: str) -> DataFrame:
+    """(user_id, lat, lon) of a written model of locations, plain or compressed; a line that isn't one is an error.
+
+    Of a user's several lines the one with the greatest values holds.
+    """
+    rows = spark.read.csv(path, sep="\t", schema=schemas.LOCATION, mode="FAILFAST").where("user_id IS NOT NULL")
+    return rows.groupBy("user_id").agg(F.max(F.struct("lat", "lon")).alias("m")).select("user_id", "m.lat", "m.lon")
+
+
 def id_set(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """(id), distinct: the first column, trimmed, blanks skipped, as text."""
     return spark.read.text(path).select(F.trim(F.substring_index("value", sep, 1)).alias("id")).where("id != ''").distinct()

@@ -17,6 +17,7 @@ from plumage.operators import knn as K
 from plumage.operators import locate as L
 from plumage.operators import metrics as M
 from plumage.operators import rank as R
+from plumage.operators.tweets import at_path
 from plumage.operators.users import nearest_entry, tag_country
 
 
@@ -301,3 +302,20 @@ def test_too_many_classes_are_refused(spark):
 def test_vincenty_on_arrays():
     d = vincenty_km(np.array([0.0, 0.0, np.nan, -37.951033]), np.array([0.0, 0.0, 0.0, 144.424868]), np.array([0.0, 0.5, 1.0, -37.652821]), np.array([0.0, 179.7, 1.0, 143.926496]))
     assert d[0] == 0 and np.isnan(d[1]) and np.isnan(d[2]) and d[3] == pytest.approx(54.972271, abs=1e-3)
+
+
+def test_training_and_validation_rows(spark):
+    f = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 0)], "id int, fold int")
+    assert {r.id for r in O.training(f, 0, 2).collect()} == {2} and {r.id for r in O.validation(f, 0, 2).collect()} == {1, 4}
+    for v, k, c in ((2, 2, "fold"), (-1, 2, "fold"), (0, 2, "other")):
+        with pytest.raises(ValueError):
+            O.training(f, v, k, c)
+
+
+def test_paths_over_lists(spark):
+    df = spark.createDataFrame([(({"x": 1}, [{"b": {"c": 5}}, None, {"b": None}]),), ((None, None),), (None,)], "t struct<s: struct<x:int>, l: array<struct<b: struct<c:int>>>>")
+    assert [r.v for r in df.select(at_path(df, "t.l.b.c").alias("v")).collect()] == [[5, None, None], None, None]
+    assert [r.v for r in df.select(at_path(df, "t.s.x").alias("v")).collect()] == [1, None, None]
+    for bad in ("t.nope", "t.s.x.y"):
+        with pytest.raises(ValueError):
+            at_path(df, bad)

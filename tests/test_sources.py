@@ -94,3 +94,13 @@ def test_stream_windows_and_weights(spark, sf, tmp_path):
     q = mention_weights(stream).writeStream.format("memory").queryName("weights").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("weights").count() > 0
+
+
+def test_written_location_model(spark, tmp_path):
+    df = spark.createDataFrame([("1", 45.5, -73.6), ("2", -1.0, 2.0), ("2", -1.0, 3.0)], "user_id string, lat double, lon double")
+    df.coalesce(1).write.csv(f"{tmp_path}/m", sep="\t", compression="gzip")
+    assert {(r.user_id, r.lat, r.lon) for r in readers.location_model(spark, f"{tmp_path}/m").collect()} == {("1", 45.5, -73.6), ("2", -1.0, 3.0)}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.tsv").write_text("1\tnorth\t2\n")
+    with pytest.raises(Exception):
+        readers.location_model(spark, f"{tmp_path}/bad").collect()
