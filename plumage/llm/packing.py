@@ -41,27 +41,24 @@ def price(lengths: np.ndarray, limit: np.ndarray, value: np.ndarray, capacity: i
     Each length is split into binary bundles, so ``limit`` is kept; ties prefer the fuller container.
     """
     best = np.zeros(capacity + 1)
-    took: list[tuple[int, int, np.ndarray]] = []
-    for i, size in enumerate(lengths):
-        left, bundle = int(min(limit[i], capacity // size)), 1
+    took: list[tuple[int, int, int, np.ndarray]] = []
+    for i, size in enumerate(lengths.tolist()):
+        left, bundle, v = int(min(limit[i], capacity // size)), 1, float(value[i])
         while left > 0:
             k = min(bundle, left)
             left -= k
             bundle *= 2
-            w = k * int(size)
-            new = best[: capacity + 1 - w] + value[i] * k
+            w = k * size
+            new = best[: capacity + 1 - w] + v * k
             better = new > best[w:] + 1e-15
-            if better.any():
-                best[w:] = np.where(better, new, best[w:])
-                mask = np.zeros(capacity + 1, bool)
-                mask[w:] = better
-                took.append((i, k, mask))
+            np.maximum(best[w:], new, out=best[w:])
+            took.append((i, k, w, better))
     counts = np.zeros(len(lengths), np.int64)
     c = int(np.flatnonzero(best >= best.max() - 1e-12)[0])
-    for i, k, mask in reversed(took):
-        if mask[c]:
+    for i, k, w, better in reversed(took):
+        if c >= w and better[c - w]:
             counts[i] += k
-            c -= k * int(lengths[i])
+            c -= w
     return counts
 
 
