@@ -50,7 +50,8 @@ KEPT = 200_000
 Item = tuple[str, bool] | None  # a word in lower case and whether it has a capital; None is a border of clauses
 
 
-def _items(token: str) -> tuple[Item, ...]:
+def _items(token: str) -> Item | list[Item]:
+    """What a token holds; a single word, which most are, by itself."""
     out: list[Item] = []
     for i, piece in enumerate(_CLAUSE.split(_OUT.sub(" ", f" {token} "))):
         if i:
@@ -58,14 +59,14 @@ def _items(token: str) -> tuple[Item, ...]:
         for w in _NO_LETTER.sub(" ", piece).replace("’", "'").split():
             if any(map(str.isalpha, w)):
                 out.append((w.lower(), w[0].isupper()))
-    return tuple(out)
+    return out[0] if len(out) == 1 and out[0] else out
 
 
 class Reader:
     """Cuts texts into clauses. What a token holds is worked out once and kept (see ``KEPT``)."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[Item, ...]] = {}
+        self.known: dict[str, Item | list[Item]] = {}
 
     def clauses(self, text: str) -> list[tuple[str, list[int]]]:
         """(clause, token of each word): clauses are lower-case words and single blanks, tokens are counted by white space.
@@ -78,34 +79,35 @@ class Reader:
             known.clear()
         i = -1
         for line in text.splitlines():
-            words: list[str] = []
+            words: list[tuple[str, bool]] = []
             at: list[int] = []
-            big: list[bool] = []
             for token in line.split():
                 i += 1
                 items = known.get(token)
                 if items is None:
                     items = known[token] = _items(token)
+                if items.__class__ is tuple:
+                    words.append(items)
+                    at.append(i)
+                    continue
                 for item in items:
-                    if item is None:
-                        if words:
-                            out.append(_clause(words, at, big))
-                            words, at, big = [], [], []
-                    else:
-                        words.append(item[0])
-                        big.append(item[1])
+                    if item is not None:
+                        words.append(item)
                         at.append(i)
+                    elif words:
+                        out.append(_clause(words, at))
+                        words, at = [], []
             if words:
-                out.append(_clause(words, at, big))
+                out.append(_clause(words, at))
         return out
 
 
-def _clause(words: list[str], at: list[int], big: list[bool]) -> tuple[str, list[int]]:
-    capitals = sum(big) - big[0]
+def _clause(words: list[tuple[str, bool]], at: list[int]) -> tuple[str, list[int]]:
+    capitals = sum([b for _, b in words]) - words[0][1]
     if capitals and capitals * 2 < len(words):
-        keep = [i for i in range(len(words)) if i == 0 or not big[i]]
-        words, at = [words[i] for i in keep], [at[i] for i in keep]
-    return " ".join(words), at
+        at = [at[i] for i in range(len(words)) if i == 0 or not words[i][1]]
+        words = [w for i, w in enumerate(words) if i == 0 or not w[1]]
+    return " ".join([w for w, _ in words]), at
 
 
 def clauses(text: str) -> list[str]:
