@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.functions.geo import EARTH_KM, haversine_km
-from plumage.session import broadcast_if_small
+from plumage.session import broadcast_if_small, cut_lineage, spread
 
 BITS = 26
 #: Latitude beyond which the longitude cells get too narrow; each cap is one bucket.
@@ -206,7 +206,8 @@ def points_in_regions(points: DataFrame, key: str, lat: str, lon: str, regions:
     rk = regions.schema[region].dataType
     reg = regions.select(F.col(region).alias("rk"), F.col(rings).alias("rings")).where("rk IS NOT NULL AND rings IS NOT NULL")
     fine = 2 * (BITS - bucket_bits)
-    cover = reg.mapInArrow(_covers, f"rk {rk.simpleString()}, lo bigint, hi bigint, shift double, inside boolean")
+    # made once, regions spread over the cores
+    cover = cut_lineage(spread(reg).mapInArrow(_covers, f"rk {rk.simpleString()}, lo bigint, hi bigint, shift double, inside boolean"))
     cover = cover.withColumn("bucket", F.explode(F.sequence(F.shiftright("lo", fine), F.shiftright("hi", fine))))
     p = points.select(F.col(key).alias("pk"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where("pk IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon IS NOT NULL AND NOT isnan(lon)")
     p = p.withColumn("lon", F.col("lon") - 360.0 * F.floor((F.col("lon") + 180.0) / 360.0))

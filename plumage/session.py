@@ -43,15 +43,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
-    """``broadcast(df)`` if it is proven to have at most ``max_rows`` rows and about ``max_bytes`` bytes, else ``df`` unhinted.
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes (of the rows written out as JSON).
 
-    The proof reads at most ``max_rows + 1`` rows; bytes are those of the rows written out as JSON. A ``df`` that is dear to
-    compute should have its lineage cut before.
+    At most ``max_rows + 1`` rows are read. A ``df`` that is dear to compute should have its lineage cut before.
     """
     some = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(max_rows + 1)
     rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """``broadcast(df)`` if it is proven to be small, else ``df`` unhinted."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
