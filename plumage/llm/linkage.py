@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.llm.textform import normalise_array
-from plumage.session import broadcast_if_small, cut_lineage, spread
+from plumage.session import broadcast_if_small, cut_lineage, is_small, spread
 
 # Usual short forms of words in names.
 SHORT_FORMS = {"st": "saint", "ste": "sainte", "ft": "fort", "mt": "mount", "pt": "port"}
@@ -163,14 +163,15 @@ def similar(strings: DataFrame, names: DataFrame) -> DataFrame:
     qp = q.select("string", "qg", F.posexplode(F.slice("qg", 1, mine)).alias("qpos", "g")).where("g >= 0")
     rp = r.select("ref", "rg", "errors", F.posexplode(F.slice("rg", 1, 3 * F.col("errors") + 1)).alias("rpos", "g"))
     nq, nr, e3 = F.size("qg"), F.size("rg"), 3 * F.col("errors")
-    met = qp.join(broadcast_if_small(rp, 200_000), "g").where((F.abs(nq - nr) <= F.col("errors")) & (F.least("qpos", "rpos") + F.least(nq - F.col("qpos"), nr - F.col("rpos")) >= nr - e3))
+    few = is_small(names, 20_000, 8 << 20)  # so are their prefixes, of seven pairs at most
+    met = qp.join(F.broadcast(rp) if few else rp, "g").where((F.abs(nq - nr) <= F.col("errors")) & (F.least("qpos", "rpos") + F.least(nq - F.col("qpos"), nr - F.col("rpos")) >= nr - e3))
     # a pair is met at each shared prefix letter pair; the first one, where positions are lowest, speaks for it
     both = F.array_intersect("qg", "rg")
     first = F.element_at(both, 1) == F.col("g")
     common = F.size(both)
     jac = common / (nq + nr - common)
     found = met.where(first).where(common * (nr + e3) >= (nr - e3) * (nq + nr - common)).select("string", "ref", jac.alias("jaccard"))
-    return found.join(broadcast_if_small(names, 200_000), "ref")
+    return found.join(F.broadcast(names) if few else names, "ref")
 
 
 def hash_pair(g: str) -> int:
@@ -248,7 +249,7 @@ def link(values: DataFrame, key: str, text: str, entries: DataFrame, entry: str,
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "string", "ref", "jaccard", "ref_id", "distance")), pa.array(named, pa.list_(pa.string()))], names=["key", "string", "ref", "jaccard", "ref_id", "distance", "named"])
 
     met = met.mapInArrow(other_words, f"key {kt}, string string, ref string, jaccard double, ref_id int, distance int, named array<string>")
-    met = met.join(broadcast_if_small(terms, 200_000), "ref_id", "left")
+    met = met.join(terms, "ref_id", "left")  # one narrow row an entry: AQE broadcasts what is small
     fits = F.when(F.size("named") == 0, F.lit(True)).otherwise(F.coalesce(F.arrays_overlap("named", "terms"), F.lit(False)))
     met = met.withColumn("fits", fits).where("fits OR distance = 0")
     order = F.struct((~F.col("fits")).alias("away"), (F.col("distance") - F.length("ref") / 1000).alias("far"), (-F.col("jaccard")).alias("unlike"), "ref_id", "string", "ref", "distance", "jaccard")
