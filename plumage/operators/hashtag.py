@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from plumage.functions.porter import stems
 from plumage.functions.text import camel_split, tokens
+from plumage.session import broadcast_if_small
 
-#: N-grams of a model are held in memory by every task; more are refused, never dropped.
-MAX_NGRAMS = 2_000_000
 BACKOFF = 0.4
 
 
@@ -39,9 +38,10 @@ def log_counts(counts: DataFrame, key: str, count: str) -> DataFrame:
 class LanguageModel:
     """Stupid backoff over words, two words of context; unknown words cost by their length."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: occurrences of all words, where ``counts`` has only some of the n-grams."""
         self.c = counts
-        self.total = max(1, sum(n for g, n in counts.items() if " " not in g))
+        self.total = max(1, sum(n for g, n in counts.items() if " " not in g) if total is None else total)
 
     def score(self, word: str, before: tuple[str, ...]) -> float:
         """log10 score of a word after up to two others."""
@@ -59,11 +59,26 @@ class LanguageModel:
         return sum(self.score(w, tuple(words[max(0, i - 2) : i])) for i, w in enumerate(words))
 
 
-def load_model(counts: DataFrame) -> LanguageModel:
-    rows = counts.select("ngram", "count").limit(MAX_NGRAMS + 1).collect()
-    if len(rows) > MAX_NGRAMS:
-        raise ValueError(f"more than {MAX_NGRAMS} n-grams")
-    return LanguageModel({r["ngram"]: r["count"] for r in rows})
+def grams_within(tags: DataFrame, tag: str, docs: DataFrame, words: str, most: int = 3) -> DataFrame:
+    """(tag, grams): of each tag the n-grams of the token arrays that a way to write it can ask for, array<struct<ngram, count>>.
+
+    Those are the n-grams that spell a part of the tag. The model of all ``docs`` is nowhere held as a whole: a tag
+    has as many of its n-grams as it has parts and ways to cut them, and n-grams of other parts aren't counted.
+    """
+    low = F.replace(F.lower(tag), F.lit(" "), F.lit(""))
+    at = tags.select(tag, low.alias("_t")).distinct().select(tag, "_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))).alias("_i"))
+    every = F.transform(F.sequence(F.col("_i"), F.greatest(F.length("_t"), F.lit(1))), lambda j: F.substring(F.col("_t"), F.col("_i"), j - F.col("_i") + 1))
+    parts = at.select(tag, F.explode(every).alias("_part")).distinct()
+    known = broadcast_if_small(parts.select("_part").distinct(), 500_000, 16 << 20)
+    w = F.col(words)
+    runs = docs.select(F.explode(F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w), F.lit(0))).alias(f"w{i}") for i in range(most)])).alias("r")).select("r.*")
+    runs = runs.join(known.withColumnRenamed("_part", "w0"), "w0", "left_semi")
+    spelled = lambda k: F.when(F.col(f"w{k}").isNotNull(), F.concat_ws(" ", *[f"w{i}" for i in range(k + 1)]))
+    grams = runs.select(F.explode(F.array(*[spelled(k) for k in range(most)])).alias("ngram")).where("ngram IS NOT NULL")
+    grams = grams.withColumn("_part", F.replace("ngram", F.lit(" "), F.lit(""))).join(known, "_part", "left_semi")
+    counts = grams.groupBy("_part", "ngram").agg(F.count(F.lit(1)).alias("count"))
+    j = parts.join(counts.hint("merge"), "_part", "left")  # as large as the texts make it
+    return j.groupBy(tag).agg(F.collect_list(F.when(F.col("ngram").isNotNull(), F.struct("ngram", "count"))).alias("grams"))
 
 
 def segment(target: str, k: int, lm: LanguageModel) -> list[tuple[str, float]]:
@@ -89,17 +104,24 @@ def segment(target: str, k: int, lm: LanguageModel) -> list[tuple[str, float]]:
     return out
 
 
-def with_segments(tags: DataFrame, tag: str, lm: LanguageModel, k: int = 5) -> DataFrame:
-    """(tag, candidates): the distinct tags, without leading ``#``, with array<struct<seg, score>>."""
+def with_segments(tags: DataFrame, tag: str, docs: DataFrame, words: str, k: int = 5) -> DataFrame:
+    """(tag, candidates): the distinct tags, without leading ``#``, with array<struct<seg, score>>.
+
+    The model is that of all token arrays ``words`` of ``docs``.
+    """
     t = tags.select(F.regexp_replace(F.col(tag), "^#+", "").alias(tag)).where(F.length(tag) > 0).distinct()
+    total = docs.agg(F.sum(F.greatest(F.size(words), F.lit(0)))).first()[0] or 0
     kind = pa.list_(pa.struct([("seg", pa.string()), ("score", pa.float64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            cells = [[{"seg": s, "score": v} for s, v in segment(x, k, lm)] for x in b.column(0).to_pylist()]
+            cells = []
+            for x, grams in zip(b.column(0), b.column(1)):
+                lm = LanguageModel({g["ngram"]: g["count"] for g in grams.as_py()}, total)
+                cells.append([{"seg": s, "score": v} for s, v in segment(x.as_py(), k, lm)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, kind)], names=[tag, "candidates"])
 
-    return t.mapInArrow(run, f"`{tag}` string, candidates array<struct<seg:string,score:double>>")
+    return grams_within(t, tag, docs, words).mapInArrow(run, f"`{tag}` string, candidates array<struct<seg:string,score:double>>")
 
 
 # ---- gold and measures -----------------------------------------------------------------------------

@@ -250,15 +250,14 @@ def lexicon_coverage(read):
     return _gold(read).select("tag", F.round(H.coverage(F.col("gold"), ["mask", "masks", "up", "for", "all", "home", "now"]), 6).alias("coverage"))
 
 
-def _model(read):
-    words = read("tweets").select(F.filter(tokens(F.regexp_replace(F.lower("tweet_json.full_text"), "[^a-z' ]", " ")), lambda t: t != "'").alias("w"))
-    return H.load_model(H.ngram_counts(words, "w", 3))
+def _words(read):
+    return read("tweets").select(F.filter(tokens(F.regexp_replace(F.lower("tweet_json.full_text"), "[^a-z' ]", " ")), lambda t: t != "'").alias("w"))
 
 
 @reg.query("beam_segment")
 def beam_segment(read):
     """Five segmentations of each tag under the model of all tweets."""
-    c = H.with_segments(_tags(read), "tag", _model(read), 5)
+    c = H.with_segments(cut_lineage(_tags(read)), "tag", _words(read), "w", 5)
     return c.select("tag", F.posexplode("candidates").alias("pos", "c")).select("tag", (F.col("pos") + 1).alias("rank"), "c.seg", F.round("c.score", 6).alias("score"))
 
 
@@ -268,7 +267,7 @@ RANKER_SAMPLE = 5000
 
 def _tag_pairs(read) -> DataFrame:
     """(tag, a, b, x, y): all ordered pairs of the five candidates of each tag, with both vectors and the difference of labels."""
-    cand = H.with_segments(_tags(read), "tag", _model(read), 5).join(_gold(read), "tag")
+    cand = cut_lineage(H.with_segments(cut_lineage(_tags(read)), "tag", _words(read), "w", 5)).withColumn("gold", F.array_join(camel_split(F.col("tag")), " "))
     rows = cand.select("tag", "gold", F.explode("candidates").alias("c")).select("tag", "c.seg", "c.score", H.edit_label(F.col("c.seg"), F.array("gold")).alias("label"))
     feats = rows.select("tag", "seg", "label", F.concat(F.array(F.col("score"), *H.word_shapes(F.col("seg"))), H.length_histogram(F.col("seg"))).alias("x"))
     return R.training_pairs(feats, "tag", "seg", "label", "x").where("a <> b")

@@ -319,3 +319,16 @@ def test_paths_over_lists(spark):
     for bad in ("t.nope", "t.s.x.y"):
         with pytest.raises(ValueError):
             at_path(df, bad)
+
+
+def test_segments_without_a_whole_model(spark):
+    """Segments from each tag's own n-grams are those of the model of all texts, and no bound of n-grams is left."""
+    texts = ["no mask no ride", "wear a mask", "mask up now", "it's no use", "no masks", "un related", None, ""]
+    docs = spark.createDataFrame([(t.split() if t is not None else None,) for t in texts], "w array<string>")
+    tags = [("#NoMask",), ("nomaskup",), ("xq",), ("NoMaskNoRide",), ("w",)]
+    lm = H.LanguageModel({r.ngram: r["count"] for r in H.ngram_counts(docs, "w").collect()})
+    got = {r.tag: [(c.seg, c.score) for c in r.candidates] for r in H.with_segments(spark.createDataFrame(tags, "tag string"), "tag", docs, "w", 5).collect()}
+    assert got == {t.lstrip("#"): H.segment(t.lstrip("#"), 5, lm) for (t,) in tags}
+    own = {r.tag: {g.ngram: g["count"] for g in r.grams} for r in H.grams_within(spark.createDataFrame([("nomask",)], "tag string"), "tag", docs, "w").collect()}
+    assert own == {"nomask": {"no": 4, "a": 1, "mask": 3, "no mask": 1}}
+    assert not hasattr(H, "MAX_NGRAMS")
