@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumage.session import broadcast_if_small
+from plumage.session import broadcast_if_small, cut_lineage, is_small
 
 EPS = 0.05
 
@@ -53,7 +53,7 @@ def zero_filled(tf: DataFrame, value: str) -> DataFrame:
     """Every (v, term) with every class of ``v``; what is missing is 0. Classes are few and broadcast when counted so."""
     classes = broadcast_if_small(tf.select("v", "class").distinct(), 10_000)
     terms = tf.select("v", "term").distinct()
-    return terms.join(classes, "v").join(tf, ["v", "class", "term"], "left").select("v", "class", "term", F.coalesce(value, F.lit(0)).alias(value))
+    return terms.join(classes, "v").join(tf.hint("merge"), ["v", "class", "term"], "left").select("v", "class", "term", F.coalesce(value, F.lit(0)).alias(value))
 
 
 def term_class_counts(docs: DataFrame, folds: int) -> DataFrame:
@@ -118,11 +118,23 @@ def bayes_scores(test: DataFrame, cond: DataFrame, prior: DataFrame) -> DataFram
     """(v, doc, class, score): log2 prior plus the sum over occurrences of log2 cond; unknown terms say nothing.
 
     ``test`` has v, doc, tokens. A class without prior in a training part can't win there: it isn't scored.
+    Spark takes rows of exploded tokens for as few as the files are small, so every join of terms or documents says
+    how it is made: the model meets the tokens where they are if it is proven to be small, else by a merge.
     """
-    counts = test.select("v", "doc", F.explode("tokens").alias("term")).groupBy("v", "doc", "term").agg(F.count(F.lit(1)).alias("n"))
-    said = counts.join(cond, ["v", "term"]).groupBy("v", "doc", "class").agg(F.sum(F.col("n") * F.log2("cond")).alias("said"))
+    kind = prior.schema["class"].dataType.simpleString()
+    classes = F.array(*[F.lit(r["class"]) for r in prior.select("class").where("class IS NOT NULL").distinct().orderBy("class").collect()]).cast(f"array<{kind}>")
+    at = F.array_position(classes, F.col("class")).cast("int")
+    one = F.struct(at.alias("k"), F.log2("cond").alias("l"))
+    model = cut_lineage(cond.where(at > 0).groupBy("v", "term").agg(F.map_from_entries(F.collect_list(one)).alias("_m")))  # a number a class
+    tokens = test.select("v", "doc", F.explode("tokens").alias("term"))
+    few = is_small(model, 100_000, 8 << 20)
+    if not few:  # a held-out part asks for few of the terms that the others have
+        model = cut_lineage(model.join(tokens.select("v", "term").distinct().hint("merge"), ["v", "term"], "left_semi"))
+        few = is_small(model, 100_000, 8 << 20)
+    met = tokens.join(F.broadcast(model) if few else model.hint("merge"), ["v", "term"])
+    said = met.select("v", "doc", F.explode("_m").alias("k", "l")).groupBy("v", "doc", "k").agg(F.sum("l").alias("said")).withColumn("class", F.get(classes, F.col("k") - 1))
     every = test.select("v", "doc").join(broadcast_if_small(prior, 10_000), "v")
-    return every.join(said, ["v", "doc", "class"], "left").select("v", "doc", "class", (F.log2("prior") + F.coalesce("said", F.lit(0.0))).alias("score"))
+    return every.join(said.hint("merge"), ["v", "doc", "class"], "left").select("v", "doc", "class", (F.log2("prior") + F.coalesce("said", F.lit(0.0))).alias("score"))
 
 
 def best_class(scored: DataFrame) -> DataFrame:
@@ -164,7 +176,7 @@ def sweep(docs: DataFrame, folds: int, scored: DataFrame, ks: list[int]) -> Data
     prior = priors(docs, folds).where("v >= 0").withColumn("g", grid).select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "prior")
     test = docs.withColumn("g", grid).select((F.col("fold") * m + F.col("g.i")).alias("v"), "doc", "tokens", F.col("class"))
     guess = best_class(bayes_scores(test, cond, prior))
-    right = test.select("v", "doc", "class").join(guess, ["v", "doc"])
+    right = test.select("v", "doc", "class").join(guess.hint("merge"), ["v", "doc"])
     by_fold = right.groupBy("v").agg(F.avg((F.col("guess") == F.col("class")).cast("double")).alias("a"))
     k_of = F.element_at(F.array(*[F.lit(k) for k in ks]), (F.pmod(F.col("v"), F.lit(m)) + 1).cast("int"))
     return by_fold.groupBy(k_of.alias("k")).agg(F.avg("a").alias("accuracy"))

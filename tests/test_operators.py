@@ -332,3 +332,16 @@ def test_segments_without_a_whole_model(spark):
     own = {r.tag: {g.ngram: g["count"] for g in r.grams} for r in H.grams_within(spark.createDataFrame([("nomask",)], "tag string"), "tag", docs, "w").collect()}
     assert own == {"nomask": {"no": 4, "a": 1, "mask": 3, "no mask": 1}}
     assert not hasattr(H, "MAX_NGRAMS")
+
+
+def test_bayes_joins_leave_documents_and_terms_where_they_are(spark, tmp_path, monkeypatch):
+    """Tables of terms or documents, which files make look small, aren't broadcast; both ways to meet the model agree."""
+    rows = [(i, "ab"[i % 2], i % 3, [f"w{i % 2}", f"w{i % 4}", f"w{i % 7}"]) for i in range(40)]
+    spark.createDataFrame(rows, "doc long, class string, fold int, tokens array<string>").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    by_broadcast = {(r.doc, r.guess) for r in T.cross_validate(d, 3).collect()}
+    monkeypatch.setattr(T, "is_small", lambda *a: False, raising=False)
+    monkeypatch.setattr(T, "broadcast_if_small", lambda df, *a: df.hint("merge"))
+    for df in (T.zero_filled(T.term_frequency(d, 3), "tf"), guess := T.cross_validate(d, 3)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc, r.guess) for r in guess.collect()} == by_broadcast and len(by_broadcast) == 40
