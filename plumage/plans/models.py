@@ -113,7 +113,7 @@ def nb_classify(read):
 
 def _predictions(read, **kw):
     d = docs_of(read)
-    return d.select("doc", "class").join(T.cross_validate(d, FOLDS, **kw), "doc")
+    return d.select("doc", "class").join(T.cross_validate(d, FOLDS, **kw).hint("merge"), "doc")
 
 
 @reg.query("nb_cv", f"WITH {_DOCS}, {_model()} SELECT v, doc, class, guess FROM pred")
