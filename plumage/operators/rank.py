@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage.session import cut_lineage
+
 SIZES = (8, 8, 8, 8, 1)
+#: Pairs that a network is fitted to in one process; more stay with the executors, which sum the slopes of theirs, with the same result.
+NEAR = 20_000
+#: Pairs of a block that an executor holds at once.
+BLOCK = 4096
+
+
+def _miss(score: np.ndarray, target: np.ndarray, loss: str) -> tuple[float, np.ndarray]:
+    """The sum of the losses of the rows and the slope of each row's."""
+    if loss == "mse":
+        return float(((score - target) ** 2).sum()), 2 * (score - target)
+    if loss == "margin":
+        short = np.maximum(0, 1 - np.sign(target) * score)
+        return float(short.sum()), -np.sign(target) * (short > 0)
+    raise ValueError(f"unknown loss {loss!r}")
+
+
+class Adam:
+    """Steps of Adam over arrays that it changes in place."""
+
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.t = params, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        self.t += 1
+        for p, m, v, g in zip(self.params, self.m, self.v, grads):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
 class Mlp:
@@ -82,24 +114,18 @@ class Ranker:
         ``multiword`` (0 or 1) is what the gate should say; its cross-entropy is added.
         """
         rng = np.random.default_rng(seed)
-        params = [p for n in self.nets() for p in n.params()]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        adam = Adam([p for n in self.nets() for p in n.params()], rate)
         losses = []
         n = max(1, len(target))
-        for t in range(1, epochs + 1):
+        for _ in range(epochs):
             runs = []
             for net, x in zip(self.nets(), (pair, single, tag)):
                 masks = [(rng.random((len(x), w.shape[1])) >= dropout) / (1 - dropout) for w in net.w[:-1]] if dropout else None
                 runs.append((net, masks, *net.forward(x, masks)))
             g = runs[2][2] if self.gated else None
             score = g * runs[0][2] + (1 - g) * runs[1][2] if self.gated else runs[0][2]
-            if loss == "mse":
-                value, d = float(((score - target) ** 2).mean()), 2 * (score - target) / n
-            elif loss == "margin":
-                short = np.maximum(0, 1 - np.sign(target) * score)
-                value, d = float(short.mean()), -np.sign(target) * (short > 0) / n
-            else:
-                raise ValueError(f"unknown loss {loss!r}")
+            value, d = _miss(score, target, loss)
+            value, d = value / n, d / n
             if self.gated:
                 dg = d * (runs[0][2] - runs[1][2])
                 if multiword is not None:
@@ -109,10 +135,7 @@ class Ranker:
                 grads = [*runs[0][0].backward(d * g, runs[0][2], runs[0][3], runs[0][1]), *runs[1][0].backward(d * (1 - g), runs[1][2], runs[1][3], runs[1][1]), *runs[2][0].backward(dg, g, runs[2][3], runs[2][1])]
             else:
                 grads = runs[0][0].backward(d, runs[0][2], runs[0][3], runs[0][1])
-            for i, gr in enumerate(grads):
-                m[i] += 0.1 * (gr - m[i])
-                v[i] += 0.001 * (gr * gr - v[i])
-                params[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            adam.step(grads)
             losses.append(value)
         return losses
 
@@ -167,18 +190,74 @@ def training_pairs(labelled: DataFrame, key: str, seg: str, label: str, features
     return j.select(F.col("key").alias(key), "a", "b", F.concat("xa", "xb").alias("x"), diff.alias("y"))
 
 
-def fit_pairs(pairs: DataFrame, keys: list[str], x: str, y: str, most: int, loss: str = "mse", epochs: int = 100, rate: float = 0.01, seed: int = 3) -> Callable[[Column], Column]:
-    """A column function that scores pair vectors, by a network fitted to at most ``most`` pairs in the order of a hash of ``keys``.
+def _blocks(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, x, y): the numbers of up to BLOCK pairs a row."""
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                cells = [b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).tobytes(), b.column(1).to_numpy(zero_copy_only=False).astype(float).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["n", "x", "y"])
+
+    return pairs.select(F.col(x).cast("array<double>"), F.col(y).cast("double")).mapInArrow(pack, "n int, x binary, y binary")
+
+
+def _summed(blocks: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``of(x, y)``, a vector, over all blocks: tasks sum theirs, and their sums are added in the order of the tasks."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in it:
+            for n, x, y in zip(*[c.to_pylist() for c in b.columns]):
+                part = of(np.frombuffer(x).reshape(n, -1), np.frombuffer(y))
+                out = part if out is None else out + part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["s"])
+
+    return reduce(np.add, [np.frombuffer(r.s) for r in blocks.mapInArrow(run, "s binary").collect()])
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in arrays])
+
+
+def _fit_far(pairs: DataFrame, x: str, y: str, loss: str, epochs: int, rate: float, seed: int) -> tuple[Ranker, np.ndarray, np.ndarray]:
+    """The network, mean and deviation of pairs that no single process holds: full-batch Adam whose slopes the executors sum."""
+    blocks = cut_lineage(_blocks(pairs, x, y))
+    first = _summed(blocks, lambda v, _: np.array([len(v), *v.sum(0)]))
+    n, mean = first[0], first[1:] / first[0]
+    std = np.sqrt(_summed(blocks, lambda v, _: ((v - mean) ** 2).sum(0)) / n) + 1e-6
+    net = Ranker(len(mean) // 2, seed=seed)
+    adam = Adam(net.multi.params(), rate)
+
+    def slopes(v: np.ndarray, target: np.ndarray) -> np.ndarray:
+        out, acts = net.multi.forward((v - mean) / std)
+        return _flat(net.multi.backward(_miss(out, target, loss)[1] / n, out, acts, None))
+
+    for _ in range(epochs):
+        g = _summed(blocks, slopes)
+        ends = np.cumsum([p.size for p in adam.params])[:-1]
+        adam.step([a.reshape(p.shape) for a, p in zip(np.split(g, ends), adam.params)])
+    return net, mean, std
+
+
+def fit_pairs(pairs: DataFrame, keys: list[str], x: str, y: str, loss: str = "mse", epochs: int = 100, rate: float = 0.01, seed: int = 3, near: int = NEAR) -> Callable[[Column], Column]:
+    """A column function that scores pair vectors, by a network fitted to all pairs, which ``keys`` tell apart.
 
-    Of an empty table it scores everything 0.
+    Up to ``near`` pairs are fitted in this process, more by the executors. Of an empty table it scores everything 0.
+    ``pairs`` are read several times: a table that is dear to compute should have its lineage cut before.
     """
-    sample = pairs.orderBy(F.xxhash64(*keys), *keys).limit(most).select(x, y).collect()
-    if not sample:
-        return lambda c: F.lit(0.0)
-    v = np.array([r[x] for r in sample], float)
-    mean, std = v.mean(0), v.std(0) + 1e-6
-    net = Ranker(v.shape[1] // 2, seed=seed)
-    net.train((v - mean) / std, np.array([r[y] for r in sample], float), loss=loss, epochs=epochs, rate=rate, dropout=0.0)
+    if pairs.limit(near + 1).count() > near:
+        net, mean, std = _fit_far(pairs, x, y, loss, epochs, rate, seed)
+    else:
+        rows = pairs.orderBy(*keys).select(x, y).collect()
+        if not rows:
+            return lambda c: F.lit(0.0)
+        v = np.array([r[x] for r in rows], float)
+        mean, std = v.mean(0), v.std(0) + 1e-6
+        net = Ranker(v.shape[1] // 2, seed=seed)
+        net.train((v - mean) / std, np.array([r[y] for r in rows], float), loss=loss, epochs=epochs, rate=rate, dropout=0.0)
 
     @F.pandas_udf("double")
     def score(col: pd.Series) -> pd.Series:

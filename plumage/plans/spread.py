@@ -261,10 +261,6 @@ def beam_segment(read):
     return c.select("tag", F.posexplode("candidates").alias("pos", "c")).select("tag", (F.col("pos") + 1).alias("rank"), "c.seg", F.round("c.score", 6).alias("score"))
 
 
-#: Pairs that the pair network is fitted to, by hash order: its documented bound. Everything else covers all pairs.
-RANKER_SAMPLE = 5000
-
-
 def _tag_pairs(read) -> DataFrame:
     """(tag, a, b, x, y): all ordered pairs of the five candidates of each tag, with both vectors and the difference of labels."""
     cand = cut_lineage(H.with_segments(cut_lineage(_tags(read)), "tag", _words(read), "w", 5)).withColumn("gold", F.array_join(camel_split(F.col("tag")), " "))
@@ -275,9 +271,9 @@ def _tag_pairs(read) -> DataFrame:
 
 @reg.query("rerank_greedy")
 def rerank_greedy(read):
-    """Candidates of the beam search reordered by a pair network trained on edit labels of the tags' own capitals."""
+    """Candidates of the beam search reordered by a pair network trained on all pairs' edit labels of the tags' own capitals."""
     both = cut_lineage(_tag_pairs(read))
-    scorer = R.fit_pairs(both, ["tag", "a", "b"], "x", "y", RANKER_SAMPLE)
+    scorer = R.fit_pairs(both, ["tag", "a", "b"], "x", "y")
     return R.rerank(both.select("tag", "a", "b", scorer(F.col("x")).alias("score")), "tag")
 
 

@@ -345,3 +345,20 @@ def test_bayes_joins_leave_documents_and_terms_where_they_are(spark, tmp_path, m
     for df in (T.zero_filled(T.term_frequency(d, 3), "tf"), guess := T.cross_validate(d, 3)):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc, r.guess) for r in guess.collect()} == by_broadcast and len(by_broadcast) == 40
+
+
+def test_pairs_are_all_fitted(spark):
+    """The network is fitted to every pair: by the executors as in one process, and as by hand."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((5200, 4))
+    y = x[:, 0] - x[:, 2]
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "i long, x array<double>, y double").repartition(3).cache()
+    net = R.Ranker(2, seed=3)
+    mean, std = x.mean(0), x.std(0) + 1e-6
+    net.train((x - mean) / std, y, epochs=10, dropout=0.0)
+    want = net.predict((x - mean) / std)
+    for near in (10_000, 100):
+        score = R.fit_pairs(df, ["i"], "x", "y", epochs=10, near=near)
+        got = dict(df.select("i", score(F.col("x"))).collect())
+        assert [got[i] for i in range(len(x))] == pytest.approx(want, abs=2e-6)
+    assert {r[0] for r in df.limit(3).select(R.fit_pairs(df.limit(0), ["i"], "x", "y")(F.col("x"))).collect()} == {0.0}
