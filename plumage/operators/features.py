@@ -162,18 +162,19 @@ def cross_validate(docs: DataFrame, folds: int, features: DataFrame | None = Non
 def sweep(docs: DataFrame, folds: int, scored: DataFrame, ks: list[int]) -> DataFrame:
     """(k, accuracy), over the folds' mean, of the best ``k`` terms of each class: ranked once, all k in one plan.
 
-    A pair (k, held-out fold) takes the place of the fold.
+    A pair (k, held-out fold) takes the place of the fold. What the ranking leaves, at most the greatest k of each class and
+    fold, is written to the checkpoint folder with its counts, so that no later plan holds the scores again.
     """
-    ranked = top_terms(scored.where("v >= 0"), max(ks))
+    ranked = cut_lineage(top_terms(scored.where("v >= 0"), max(ks)).select("v", "class", "term", "rank"))
+    best = F.broadcast(ranked) if is_small(ranked, 100_000) else ranked.hint("merge")
     m = len(ks)
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(ks)]))
-    feats = ranked.withColumn("g", grid).where("rank <= g.k").select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "term")
-    tf = term_frequency(docs, folds).where("v >= 0").withColumn("g", grid).select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "term", "tf")
-    tf = tf.join(feats, ["v", "class", "term"], "left_semi")
+    kept = cut_lineage(term_frequency(docs, folds).where("v >= 0").join(best, ["v", "class", "term"]).select("v", "class", "term", "tf", "rank"))
+    tf = kept.withColumn("g", grid).where("rank <= g.k").select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "term", "tf")
     full = zero_filled(tf, "tf")
     sums = full.groupBy("v", "class").agg(F.sum("tf").alias("_t"), F.count(F.lit(1)).alias("_v"))
     cond = full.join(broadcast_if_small(sums, 100_000), ["v", "class"]).select("v", "class", "term", ((F.col("tf") + 1) / (F.col("_t") + F.col("_v"))).alias("cond"))
-    prior = priors(docs, folds).where("v >= 0").withColumn("g", grid).select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "prior")
+    prior = cut_lineage(priors(docs, folds).where("v >= 0")).withColumn("g", grid).select((F.col("v") * m + F.col("g.i")).alias("v"), "class", "prior")
     test = docs.withColumn("g", grid).select((F.col("fold") * m + F.col("g.i")).alias("v"), "doc", "tokens", F.col("class"))
     guess = best_class(bayes_scores(test, cond, prior))
     right = test.select("v", "doc", "class").join(guess.hint("merge"), ["v", "doc"])

@@ -362,3 +362,21 @@ def test_pairs_are_all_fitted(spark):
         got = dict(df.select("i", score(F.col("x"))).collect())
         assert [got[i] for i in range(len(x))] == pytest.approx(want, abs=2e-6)
     assert {r[0] for r in df.limit(3).select(R.fit_pairs(df.limit(0), ["i"], "x", "y")(F.col("x"))).collect()} == {0.0}
+
+
+def test_sweep_ranks_once(spark, tmp_path, monkeypatch):
+    """No plan of a sweep holds the scores more than once: each reads the documents a few times."""
+    rows = [(i, "ab"[i % 2], i % 3, [f"w{i % 2}", f"w{i % 4}", f"w{i % 7}"]) for i in range(40)]
+    spark.createDataFrame(rows, "doc long, class string, fold int, tokens array<string>").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    reads = []
+
+    def noted(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return df
+
+    cut = T.cut_lineage
+    monkeypatch.setattr(T, "cut_lineage", lambda df: cut(noted(df)))
+    got = {r.k: r.accuracy for r in noted(T.sweep(d, 3, T.scores(d, 3, T.mutual_information), [2, 3])).collect()}
+    assert max(reads) <= 4 and got == {2: pytest.approx(38 / 39), 3: 1.0}
+    assert T.sweep(d.limit(0), 3, T.scores(d.limit(0), 3, T.mutual_information), [2]).collect() == []
