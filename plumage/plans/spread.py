@@ -261,27 +261,33 @@ def beam_segment(read):
     return c.select("tag", F.posexplode("candidates").alias("pos", "c")).select("tag", (F.col("pos") + 1).alias("rank"), "c.seg", F.round("c.score", 6).alias("score"))
 
 
-def _tag_pairs(read) -> DataFrame:
+def _tag_pairs(read, tags: DataFrame) -> DataFrame:
     """(tag, a, b, x, y): all ordered pairs of the five candidates of each tag, with both vectors and the difference of labels."""
-    cand = cut_lineage(H.with_segments(cut_lineage(_tags(read)), "tag", _words(read), "w", 5)).withColumn("gold", F.array_join(camel_split(F.col("tag")), " "))
+    cand = cut_lineage(H.with_segments(tags, "tag", _words(read), "w", 5)).withColumn("gold", F.array_join(camel_split(F.col("tag")), " "))
     rows = cand.select("tag", "gold", F.explode("candidates").alias("c")).select("tag", "c.seg", "c.score", H.edit_label(F.col("c.seg"), F.array("gold")).alias("label"))
     feats = rows.select("tag", "seg", "label", F.concat(F.array(F.col("score"), *H.word_shapes(F.col("seg"))), H.length_histogram(F.col("seg"))).alias("x"))
     return R.training_pairs(feats, "tag", "seg", "label", "x").where("a <> b")
 
 
+def _reranked(read, tags: DataFrame) -> DataFrame:
+    """(tag, seg, rank) of ``tags``, whose lineage is cut: they are read several times."""
+    both = cut_lineage(_tag_pairs(read, tags))
+    scorer = R.fit_pairs(both, ["tag", "a", "b"], "x", "y")
+    return R.rerank(both.select("tag", "a", "b", scorer(F.col("x")).alias("score")), "tag")
+
+
 @reg.query("rerank_greedy")
 def rerank_greedy(read):
     """Candidates of the beam search reordered by a pair network trained on all pairs' edit labels of the tags' own capitals."""
-    both = cut_lineage(_tag_pairs(read))
-    scorer = R.fit_pairs(both, ["tag", "a", "b"], "x", "y")
-    return R.rerank(both.select("tag", "a", "b", scorer(F.col("x")).alias("score")), "tag")
+    return _reranked(read, cut_lineage(_tags(read)))
 
 
 @reg.query("hashtag_words")
 def hashtag_words(read):
     """The whole way of a tag: without its sign, five segmentations, reordered where there are several; and texts written with the best."""
-    best = rerank_greedy(read).where("rank = 1").select("tag", "seg")
-    only = _tags(read).join(best.select("tag"), "tag", "left_anti").withColumn("seg", F.col("tag"))  # a single way needs no order
+    tags = cut_lineage(_tags(read))
+    best = _reranked(read, tags).where("rank = 1").select("tag", "seg")
+    only = tags.join(best.select("tag"), "tag", "left_anti").withColumn("seg", F.col("tag"))  # a single way needs no order
     t = H.replace_tags(read("rated_tweets"), "rating_id", "full_text", best.unionByName(only))
     return t.select("rating_id", F.md5("full_text").alias("text_md5"))
 

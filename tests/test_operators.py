@@ -1,11 +1,13 @@
 """Hand-made values and invariants of the reference's operators."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from plumage.functions import text as X
 from plumage.functions.geo import haversine_km, vincenty_km
 from plumage.functions.porter import stem
@@ -380,3 +382,24 @@ def test_sweep_ranks_once(spark, tmp_path, monkeypatch):
     got = {r.k: r.accuracy for r in noted(T.sweep(d, 3, T.scores(d, 3, T.mutual_information), [2, 3])).collect()}
     assert max(reads) <= 4 and got == {2: pytest.approx(38 / 39), 3: 1.0}
     assert T.sweep(d.limit(0), 3, T.scores(d.limit(0), 3, T.mutual_information), [2]).collect() == []
+
+
+def test_hashtag_words_of_many_tags(spark, tmp_path):
+    """The whole way with so many tags that executors fit the network; the last plan doesn't read the tags' texts again."""
+    words = [a + b for a in "bcdfghklmn" for b in ("ab", "en", "ist", "orn")]
+    tags = [f"{a.capitalize()}{b.capitalize()}" for a in words for b in words if a != b][:1100]
+    said = [(f"{t} #{t} #No {' '.join(words)}",) for t in tags] + [("nothing #X1 #",), (None,)]
+    spark.createDataFrame(said, "full_text string").select(F.struct("full_text").alias("tweet_json")).write.parquet(str(tmp_path / "tweets.parquet"))
+    rated = [(1, f"So #{tags[0]} and #No"), (2, f"#{tags[-1]} ##{tags[0]}"), (3, "none"), (4, "#Unheard")]
+    spark.createDataFrame(rated, "rating_id long, full_text string").write.parquet(str(tmp_path / "rated_tweets.parquet"))
+    got = queries()["rerank_greedy"](spark, str(tmp_path)).collect()
+    first, by_tag = {r.tag: r.seg for r in got if r["rank"] == 1}, {}
+    for r in got:
+        by_tag.setdefault(r.tag, []).append(r["rank"])
+    assert set(by_tag) == {*tags, "No"} and all(sorted(r) == [*range(1, len(r) + 1)] for r in by_tag.values()) and len(got) > 5 * len(tags)
+    assert all(s.replace(" ", "") == t for t, s in first.items())
+    w = queries()["hashtag_words"](spark, str(tmp_path))
+    assert all("/rated_tweets.parquet/" in f for f in w.inputFiles())
+    put = lambda t: " ".join(first.get(x.lstrip("#"), x) if x.startswith("#") else x for x in t.split()).lower()
+    want = {i: hashlib.md5(put(t).encode()).hexdigest() for i, t in rated}
+    assert {r.rating_id: r.text_md5 for r in w.collect()} == want
